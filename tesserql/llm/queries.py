@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserql.llm import bpe, tokenfile
+from tesserql.llm import bpe, simhash, tokenfile
 
 
 def vocabulary_file(name: str) -> str:
@@ -24,6 +24,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(docs, vocabulary_file("byte_bpe_50k.json"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = tokenfile.write_token_files(docs, vocabulary_file("byte_bpe_50k.json"), end_id=2)
@@ -32,6 +36,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op4_simhash": op4_simhash,
     "op8_token_files": op8_token_files,
 }
 
