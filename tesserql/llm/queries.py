@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserql.llm import bpe, simhash, tokenfile
+from tesserql.llm import bpe, langid, simhash, tokenfile
 
 
 def vocabulary_file(name: str) -> str:
@@ -24,6 +24,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(docs, vocabulary_file("byte_bpe_50k.json"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"), vocabulary_file("piece_bpe_32k.model"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op3_language": op3_language,
     "op4_simhash": op4_simhash,
     "op8_token_files": op8_token_files,
 }
