@@ -34,7 +34,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserql.llm.bpe import Pieces, vocabulary
+from tesserql.llm.bpe import Pieces, byte_letters, vocabulary
 from tesserql.llm.common import fresh_dir, map_arrow
 
 #: Stands for a null document id in the index.
@@ -46,18 +46,22 @@ def library_pieces(path: str) -> Pieces:
     """Pieces that the tokenizers library encodes.
 
     What the pre-tokeniser cuts apart never merges, so a text's ids are those
-    of its pieces; the library gets each distinct piece once.
+    of its pieces; the library's model gets each distinct piece once.
     """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
     special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
 
+    letters = str.maketrans({chr(b): c for c, b in byte_letters().items()})
+    tokenize = tokenizer.model.tokenize
+
     def encode(words: list[str]) -> list[list[int]]:
-        return [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return [
+            [t.id for t in tokenize(w.encode().decode("latin-1").translate(letters))]
+            for w in words
+        ]
 
     return Pieces(special, encode)
 

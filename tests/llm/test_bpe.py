@@ -21,6 +21,7 @@ def library():
 
 def test_random_texts_match_the_library(library):
     rng, v, pieces = random.Random(1), bpe.vocabulary(PATH), bpe.backtracking_pieces(PATH)
+    other = tokenfile.library_pieces(PATH)
     letters = "aeé <|endoftext|>\n\t 's'll123²½Ⅷ中文日本😀 --==__  \x1c\x85꟒"
     for k in range(1500):
         text = "".join(rng.choice(letters) for _ in range(rng.randrange(60)))
@@ -28,6 +29,7 @@ def test_random_texts_match_the_library(library):
             text = text[:9] + "<|endoftext|>" + text[9:]
         ids = library.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(pieces.packed(text), "<u4").tolist() == ids, text
+        assert np.frombuffer(other.packed(text), "<u4").tolist() == ids, text
         assert v.decode(np.array(ids, np.int64)).decode() == library.decode(ids, skip_special_tokens=False)
 
 
