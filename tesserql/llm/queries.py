@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserql.llm import bpe, langid, simhash, tokenfile
+from tesserql.llm import bpe, langid, media, simhash, tokenfile
 
 
 def vocabulary_file(name: str) -> str:
@@ -38,11 +38,16 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_token_files(spark, folder, with_ids=False)
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_payloads(media.store_texts(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_language": op3_language,
     "op4_simhash": op4_simhash,
     "op8_token_files": op8_token_files,
+    "op10_media": op10_media,
 }
 
 ORACLE_SQL: dict[str, str] = {}
