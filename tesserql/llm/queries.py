@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserql.llm import bpe, langid, media, simhash, tokenfile
+from tesserql.llm import bpe, langid, media, secrets, simhash, tokenfile
 
 
 def vocabulary_file(name: str) -> str:
@@ -32,6 +32,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = tokenfile.write_token_files(docs, vocabulary_file("byte_bpe_50k.json"), end_id=2)
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_language": op3_language,
     "op4_simhash": op4_simhash,
+    "op5_secrets": op5_secrets,
     "op8_token_files": op8_token_files,
     "op10_media": op10_media,
 }
