@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserql.llm import bpe, langid, media, secrets, simhash, tokenfile, topk
+from tesserql.llm import bpe, langid, media, packing, pii, secrets, sharding, simhash, tokenfile, topk
+from tesserql.llm.common import fresh_dir
 
 
 def vocabulary_file(name: str) -> str:
@@ -42,12 +43,46 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"))
 
 
+#: Room of a bin, in bytes of UTF-8.
+BIN_BYTES = 8192
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(
+        docs, BIN_BYTES, F.octet_length("text"), source=F.col("source"), cluster=F.xxhash64("text")
+    )
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = tokenfile.write_token_files(docs, vocabulary_file("byte_bpe_50k.json"), end_id=2)
     return tokenfile.read_token_files(spark, folder, with_ids=False)
 
 
+#: Arrivals that the table comes in.
+ARRIVALS = 4
+
+
+def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    store = sharding.ShardStore(spark, fresh_dir(spark, "shards"))
+    arrival = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(ARRIVALS))
+    for k in range(ARRIVALS):
+        store.append(docs.where(arrival == k))
+    store.compact()
+    store.vacuum()
+    text = F.coalesce("text", F.lit(""))
+    return store.read().select(
+        "doc_id", "lang", "source", F.octet_length(text).cast("long").alias("n_bytes"),
+        F.sha2(text.cast("binary"), 256).alias("text_sha256"),
+    )
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_payloads(media.store_texts(table(spark, sf_dir, "documents")))
 
@@ -58,11 +93,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language": op3_language,
     "op4_simhash": op4_simhash,
     "op5_secrets": op5_secrets,
+    "op6_packing": op6_packing,
+    "op7_pii": op7_pii,
     "op8_token_files": op8_token_files,
+    "op9_shards": op9_shards,
     "op10_media": op10_media,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op9_shards": """
+        SELECT doc_id, lang, source, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes,
+               sha256(coalesce(text, '')) AS text_sha256
+        FROM documents
+    """,
     "op2_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS c
