@@ -281,6 +281,19 @@ def scorer_of(key: str, path: str, model: np.ndarray) -> Scorer:
     return _SCORERS[key]
 
 
+def judged(scorer: Scorer, langs: list[str], texts: list[str | None]) -> Iterator[tuple[str, float]]:
+    """Language and posterior of each text."""
+    if not langs:
+        yield from [("und", 0.0)] * len(texts)
+        return
+    for row in scorer.score(texts):
+        if row[-1] == 0:
+            yield "und", 0.0
+        else:
+            k = int(np.argmax(row[:-1]))
+            yield langs[k], float(1 / np.exp(row[:-1] - row[k]).sum())
+
+
 def predict(
     df: DataFrame,
     vocab_path: str,
@@ -303,15 +316,9 @@ def predict(
             score: list[float] = []
             texts = batch.column(1)
             for at in range(0, len(texts), 200):
-                found = scorer.score(texts[at : at + 200].to_pylist())
-                for row in found:
-                    if not langs or row[-1] == 0:
-                        best.append("und")
-                        score.append(0.0)
-                    else:
-                        k = int(np.argmax(row[:-1]))
-                        best.append(langs[k])
-                        score.append(float(1 / np.exp(row[:-1] - row[k]).sum()))
+                for lang, p in judged(scorer, langs, texts[at : at + 200].to_pylist()):
+                    best.append(lang)
+                    score.append(p)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(best, pa.string()), pa.array(score, pa.float64()), *batch.columns[2:]],
                 names,
@@ -324,6 +331,28 @@ def predict(
     return map_arrow(rows, run, ", ".join(f"`{n}` {t}" for n, t in zip(names, types)))
 
 
+def keep_known(
+    df: DataFrame, vocab_path: str, langs: list[str], model: np.ndarray, text_col: str = "text", least: float = 0.0
+) -> DataFrame:
+    """The rows whose language can be told with that score, all columns kept."""
+    shared = df.sparkSession.sparkContext.broadcast((langs, model))
+    key = uuid.uuid4().hex
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        langs, model = shared.value
+        scorer = scorer_of(key, vocab_path, model)
+        for batch in batches:
+            keep: list[bool] = []
+            texts = batch.column(at)
+            for first in range(0, len(texts), 200):
+                rows = judged(scorer, langs, texts[first : first + 200].to_pylist())
+                keep += [lang != "und" and p >= least for lang, p in rows]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return map_arrow(df, run, df.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """Whether a row takes no part in learning."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(True))
