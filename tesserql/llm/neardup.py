@@ -172,9 +172,8 @@ def near_duplicates(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
     alone = checkpointed(large.select("part", "key").join(linked, "key", "left_anti"))
     if not alone.isEmpty():
         order = Window.partitionBy("part").orderBy("key")
-        follow = alone.select(
-            F.col("key").alias("b"), F.explode(F.array(*[F.lead("key", k).over(order) for k in range(1, NEXT + 1)])).alias("a")
-        )
+        after = F.array(*[F.lead("key", k).over(order) for k in range(1, NEXT + 1)])
+        follow = alone.select(F.col("key").alias("b"), after.alias("after")).select("b", F.explode("after").alias("a"))
         more = follow.where("a is not null").distinct().join(candidates, ["a", "b"], "left_anti")
         links = links.union(similar(more, sets, least))
     classes = components(links)

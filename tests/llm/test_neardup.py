@@ -50,6 +50,23 @@ def test_groups_match_brute_force(spark, monkeypatch):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, slow.values()))
 
 
+def test_members_of_large_groups_that_miss_the_first(spark, monkeypatch):
+    """Two clusters share part fingerprints with a first node unlike both."""
+    monkeypatch.setattr(neardup, "ALL_PAIRS", 3)
+    rng = random.Random(4)
+    shared = [f"s{k}" for k in range(60)]
+    first = " ".join([*shared, *[f"f{k}" for k in range(200)]])
+    one, two = ([f"{c}{k}" for k in range(70)] for c in "xy")
+    texts = [first]
+    for base in (one, two):
+        texts += [" ".join([*shared, *edited(rng, base, 1)]) for _ in range(8)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    groups = {}
+    for r in neardup.near_duplicates(rows).collect():
+        groups.setdefault(r.group, set()).add(r.key)
+    assert sorted(map(sorted, groups.values())) == [[0], list(range(1, 9)), list(range(9, 17))]
+
+
 def test_one_row_of_each_group_stays(spark):
     docs = edge_documents(spark)
     kept = neardup.keep_first(docs)
