@@ -1,21 +1,15 @@
-import pytest
-from pyspark.sql import SparkSession
+import os
+import time
+
+# timestamps come back as local times
+os.environ["TZ"] = "UTC"
+time.tzset()
+
+import pytest  # noqa: E402
+
+from tests.session import session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
-    base = tmp_path_factory.mktemp("spark")
-    session = (
-        SparkSession.builder.master("local[4]")
-        .config("spark.sql.shuffle.partitions", "4")
-        .config("spark.driver.memory", "3g")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.warehouse.dir", str(base / "warehouse"))
-        .config("spark.checkpoint.dir", f"file://{base}/shared")
-        .getOrCreate()
-    )
-    session.sparkContext.setLogLevel("ERROR")
-    yield session
-    session.stop()
+def spark():
+    return session()
