@@ -5,9 +5,9 @@ stop word, compared in lower case.  A row's rank is the sum over the query's
 words of ``tf * idf ** 2`` with ``idf = log10(N / n)``, or ``log10(1.0001)`` where
 every row holds the word.
 
-Only occurrences of the query's own words leave the scan: words are filtered
-before they are counted, so the shuffle is bounded by rows that match, not by
-the text.
+Only counts of the query's own words leave the scan.  A whole word is counted by
+a regular expression on texts that contain its letters; texts become lists of
+words only for prefixes and phrases, and only where these can stand.
 """
 
 from __future__ import annotations
@@ -39,12 +39,18 @@ def query_words(query: str) -> list[str]:
     return [w for w in found if SHORTEST <= len(w) <= LONGEST and w not in STOP_WORDS]
 
 
-def counted(df: DataFrame, text_col: str, terms: list[str], total: Column | None = None) -> DataFrame:
+def occurrences(low: Column, word: str) -> Column:
+    """How often a word stands in a lower-cased text, as a whole run of word
+    characters.  Texts without these letters are passed over byte by byte."""
+    run = r"[\p{L}\p{N}_]"
+    pattern = f"(?<!{run}){word}(?!{run})"  # words have no characters with a meaning here
+    return F.when(low.contains(word), F.regexp_count(low, F.lit(pattern))).otherwise(0)
+
+
+def counted(df: DataFrame, text_col: str, terms: list[str]) -> DataFrame:
     """The rows with ``_tf``: how often each different term stands in them."""
-    wanted = F.array(*[F.lit(t) for t in terms])
-    held = F.filter(words(F.col(text_col)), lambda w: F.array_contains(wanted, w))
-    tf = F.transform(wanted, lambda t: F.size(F.filter(F.col("_held"), lambda w: w == t)))
-    return df.withColumn("_held", held).withColumn("_tf", tf).drop("_held")
+    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    return df.withColumn("_low", low).withColumn("_tf", F.array(*[occurrences(F.col("_low"), t) for t in terms])).drop("_low")
 
 
 def _weights(rows: DataFrame, terms: list[str]) -> DataFrame:
@@ -124,18 +130,22 @@ def leaves(terms: list[Term]) -> list[Term]:
 
 
 def _count(term: Term) -> Column:
-    """How often a leaf stands in a row's words."""
-    listed = F.col("_words")
+    """How often a leaf stands in a row's text."""
+    low = F.col("_low")
     if term.phrase is not None:
         n = len(term.phrase)
         if n == 0:
             return F.lit(0)
-        joined = F.concat(F.lit(" "), F.array_join(listed, " "), F.lit(" "))
-        needle = " " + " ".join(term.phrase) + " "
-        return F.floor((F.length(joined) - F.length(F.replace(joined, F.lit(needle), F.lit(" ")))) / (len(needle) - 1)).cast("int")
+        joined = F.concat(F.lit(" "), F.array_join(words(low), "  "), F.lit(" "))
+        needle = " " + "  ".join(term.phrase) + " "
+        may = low.contains(term.phrase[0])
+        for w in term.phrase[1:]:
+            may = may & low.contains(w)
+        return F.when(may, F.regexp_count(joined, F.lit(needle))).otherwise(0)
     if term.prefix:
-        return F.size(F.filter(listed, lambda w: w.startswith(term.word)))
-    return F.size(F.filter(listed, lambda w: w == term.word))
+        held = F.size(F.filter(words(low), lambda w: w.startswith(term.word)))
+        return F.when(low.contains(term.word), held).otherwise(0)
+    return occurrences(low, term.word)
 
 
 def boolean(df: DataFrame, text_col: str, query: str, rank: str = "rank") -> DataFrame:
@@ -149,8 +159,8 @@ def boolean(df: DataFrame, text_col: str, query: str, rank: str = "rank") -> Dat
     parsed = parse_boolean(query)
     flat = leaves(parsed)
     short = [not t.phrase and not t.prefix and (t.word in STOP_WORDS or not SHORTEST <= len(t.word) <= LONGEST) for t in flat]
-    listed = df.withColumn("_words", words(F.col(text_col)))
-    rows = listed.withColumn("_tf", F.array(*[_count(t) for t in flat])).drop("_words")
+    lowered = df.withColumn("_low", F.lower(F.coalesce(F.col(text_col), F.lit(""))))
+    rows = lowered.withColumn("_tf", F.array(*[_count(t) for t in flat])).drop("_low")
     scored = rows.join(F.broadcast(_weights(rows, [""] * len(flat))))  # one row
     place = {id(t): k for k, t in enumerate(flat)}
 
