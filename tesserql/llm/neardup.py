@@ -14,7 +14,7 @@ Texts with equal words are one node before that, so a group of copies of any
 size is one node.  Among up to ``ALL_PAIRS`` nodes of one part fingerprint all
 pairs are candidates.  In larger groups every node is paired with the group's
 first; nodes that this leaves without a verified link are then paired with
-``NEXT`` followers among such nodes.  Links of large groups therefore rest on
+``NEXT`` followers among such nodes of their bucket.  Links of large groups therefore rest on
 the first nodes of 16 groupings instead of all pairs.
 
 Null and empty texts have no shingles and are copies of each other.  Rows are
@@ -44,6 +44,8 @@ PARTS = 16
 SHINGLES = 4
 ALL_PAIRS = 16
 NEXT = 8
+#: Members of a large group that are ordered together, about.
+BUCKET = 256
 
 
 def shingle_hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -169,9 +171,11 @@ def near_duplicates(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
     links = checkpointed(similar(candidates, sets, least))
     # members of large groups that have no link yet, among themselves
     linked = links.select(F.col("a").alias("key")).union(links.select("b")).distinct()
-    alone = checkpointed(large.select("part", "key").join(linked, "key", "left_anti"))
+    alone = checkpointed(large.select("part", "key", "n").join(linked, "key", "left_anti"))
     if not alone.isEmpty():
-        order = Window.partitionBy("part").orderBy("key")
+        # a group of any size is dealt to several tasks
+        bucket = F.pmod(F.xxhash64("key", "part"), F.ceil(F.col("n") / BUCKET))
+        order = Window.partitionBy("part", bucket).orderBy("key")
         after = F.array(*[F.lead("key", k).over(order) for k in range(1, NEXT + 1)])
         follow = alone.select(F.col("key").alias("b"), after.alias("after")).select("b", F.explode("after").alias("a"))
         more = follow.where("a is not null").distinct().join(candidates, ["a", "b"], "left_anti")
