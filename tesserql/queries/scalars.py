@@ -165,7 +165,7 @@ def date_arithmetic(spark: SparkSession, sf: str) -> DataFrame:
     day = F.col("o_orderdate").cast("date")
     when = F.col("o_orderdate").cast("timestamp")
     return table(spark, sf, "orders").select(
-        "o_orderkey", t.date_add(day, 1, "MONTH").alias("plus_month"), t.date_sub(day, 10, "DAY").alias("minus_days"), t.date_add(when, 90, "MINUTE").alias("plus_minutes"),
+        "o_orderkey", t.date_add(day, 1, "MONTH").alias("plus_month"), t.date_sub(day, 10, "DAY").alias("minus_days"), t.date_add(when, 90, "MINUTE").cast("timestamp_ntz").alias("plus_minutes"),
         t.date_add(day, L("1-2"), "YEAR_MONTH").alias("plus_year_month"), t.datediff(L("1998-12-01"), day).alias("datediff"),
         t.timestampdiff("MONTH", day, L("1998-12-01")).alias("months"), t.extract("YEAR_MONTH", day).alias("year_month"), t.makedate(F.year(day), L(32)).alias("makedate"),
     )
@@ -182,7 +182,7 @@ def date_formats(spark: SparkSession, sf: str) -> DataFrame:
     x = "ts"
     return table(spark, sf, "events").select(
         "event_id", t.date_format(x, "%Y-%m-%d %H:%i:%s").alias("plain"), t.date_format(x, "%d.%m.%y").alias("short"), t.date_format(x, "%W %M").alias("names"), t.hour(x).alias("h"),
-        t.minute(x).alias("mi"), t.second(x).alias("se"), t.time_to_sec(x).alias("secs"), t.unix_timestamp(x).alias("unix"), t.from_unixtime(t.unix_timestamp(x)).alias("back"),
+        t.minute(x).alias("mi"), t.second(x).alias("se"), t.time_to_sec(x).alias("secs"), t.unix_timestamp(x).alias("unix"), t.from_unixtime(t.unix_timestamp(x)).cast("timestamp_ntz").alias("back"),
         t.str_to_date(t.date_format(x, "%d/%m/%Y"), "%d/%m/%Y").alias("parsed"),
     )
 

@@ -103,7 +103,7 @@ def case_if_coalesce(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("SELECT * FROM (VALUES (1, 'a', 2.5), (2, 'b', NULL), (3, NULL, 0.5)) AS t(column_0, column_1, column_2)")
+@query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'a', CAST(2.5 AS DOUBLE)), (2, 'b', NULL), (3, NULL, 0.5)) AS t(column_0, column_1, column_2)")
 def values_constructor(spark: SparkSession, sf: str) -> DataFrame:
     return values(spark, [(1, "a", 2.5), (2, "b", None), (3, None, 0.5)])
 
