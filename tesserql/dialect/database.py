@@ -95,14 +95,53 @@ class Database(Dialect):
         node = parse_command(text)
         before, known = dict(self.tables), copy.deepcopy(self.tables)
         try:
-            return getattr(self, "do_" + node.kind)(node, parameters)
+            out = getattr(self, "do_" + node.kind)(node, parameters)
+            self.variables["row_count"] = out if isinstance(out, int) else -1
+            return out
         except Exception:
             self.tables = {k: known[k] for k in before}
             self.show_all()
             raise
 
     def translator(self, parameters: tuple) -> Translator:
-        return Translator(self.spark, parameters, self.variables, self.ignore_case)
+        return Translator(self.spark, parameters, self.variables, self.ignore_case, self.system)
+
+    def system(self, schema: str, name: str) -> str | None:
+        """A view of a catalog table, made when a query names it."""
+        made = self.system_table(schema, name)
+        if made is None:
+            return None
+        view = f"_{schema}_{name}"
+        made.createOrReplaceTempView(view)
+        return view
+
+    def system_table(self, schema: str, name: str) -> DataFrame | None:
+        spark, tables = self.spark, self.tables.values()
+        if schema == "performance_schema":
+            return catalog.variables(spark) if name in ("session_variables", "global_variables", "session_status", "global_status") else None
+        keys = {t.name: {f"uk_{k}" if u and k != "PRIMARY" and not k.startswith("uk_") else k: cs for k, (cs, u) in t.keys.items()} for t in tables}
+        foreign = {t.name: {k: (f.columns[0], f.parent, f.others[0], f.on_delete.upper()) for k, f in t.foreign.items()} for t in tables}
+        checks = {t.name: {k: repr(c) for k, c in t.checks.items()} for t in tables}
+        if name == "tables":
+            rows = [(schema, t.name, "BASE TABLE") for t in tables] + [(schema, v, "VIEW") for v in self.views]
+            return spark.createDataFrame(rows, "table_schema string, table_name string, table_type string")
+        if name == "columns":
+            rows = []
+            for t in tables:
+                primary = t.keys.get("PRIMARY", ([], True))[0]
+                for row, c in zip(catalog.columns_of("def", t.name, self.frame(t)), t.columns):
+                    rows.append((*row[:4], "YES" if c.null and c.name not in primary else "NO", *row[5:8], c.type, "PRI" if c.name in primary else ""))
+            return spark.createDataFrame(rows, catalog.COLUMNS)
+        if name == "views":
+            return spark.createDataFrame(list(self.views.items()), "table_name string, view_definition string")
+        if name == "table_constraints":
+            return catalog.table_constraints(spark, keys, foreign, checks)
+        made = {
+            "schemata": lambda: catalog.schemata(spark), "engines": lambda: catalog.engines(spark), "routines": lambda: spark.createDataFrame([], "routine_name string, routine_type string"),
+            "statistics": lambda: catalog.statistics(spark, keys), "key_column_usage": lambda: catalog.key_column_usage(spark, keys, foreign),
+            "referential_constraints": lambda: catalog.referential_constraints(spark, foreign), "check_constraints": lambda: catalog.check_constraints(spark, checks),
+        }.get(name)
+        return made() if made else None
 
     def do_query(self, node: Node, parameters: tuple) -> DataFrame:
         return self.spark.sql(self.translator(parameters).query(node.query))

@@ -129,9 +129,8 @@ def leaves(terms: list[Term]) -> list[Term]:
     return out
 
 
-def _count(term: Term) -> Column:
-    """How often a leaf stands in a row's text."""
-    low = F.col("_low")
+def count_of(term: Term, low: Column) -> Column:
+    """How often a leaf stands in a lower-cased text."""
     if term.phrase is not None:
         n = len(term.phrase)
         if n == 0:
@@ -148,38 +147,29 @@ def _count(term: Term) -> Column:
     return occurrences(low, term.word)
 
 
-def boolean(df: DataFrame, text_col: str, query: str, rank: str = "rank") -> DataFrame:
-    """Rows that a boolean query matches, with their rank.
+def unindexed(term: Term) -> bool:
+    """A word that is never indexed, and so is left out of a query."""
+    return not term.phrase and not term.prefix and not term.group and (term.word in STOP_WORDS or not SHORTEST <= len(term.word) <= LONGEST)
 
-    ``+`` must and ``-`` must not be held; ``>`` and ``<`` add and take away 1;
-    ``~`` takes 1 away from a row that holds it; a star ends a prefix; quotes
-    make a phrase; parentheses a group.  A row matches if it holds every ``+``
-    term, no ``-`` term and, where there is no ``+`` term, any other.
-    """
-    parsed = parse_boolean(query)
-    flat = leaves(parsed)
-    short = [not t.phrase and not t.prefix and (t.word in STOP_WORDS or not SHORTEST <= len(t.word) <= LONGEST) for t in flat]
-    lowered = df.withColumn("_low", F.lower(F.coalesce(F.col(text_col), F.lit(""))))
-    rows = lowered.withColumn("_tf", F.array(*[_count(t) for t in flat])).drop("_low")
-    scored = rows.join(F.broadcast(_weights(rows, [""] * len(flat))))  # one row
-    place = {id(t): k for k, t in enumerate(flat)}
 
-    def score(t: Term) -> tuple[Column, Column]:
-        """Whether a term is held, and its part of the rank."""
+def boolean_score(terms: list[Term], tf: list[Column], idf2: list[Column]) -> tuple[Column, Column]:
+    """Whether a row matches, and its rank, from its counts of the leaves and
+    their weights."""
+    place = {id(t): k for k, t in enumerate(leaves(terms))}
+
+    def of_one(t: Term) -> tuple[Column, Column]:
         if t.group:
-            held, value = score_of(t.group)
+            held, value = of_all(t.group)
         else:
-            k = place[id(t)]
-            held = F.get("_tf", F.lit(k)) > 0
-            value = F.get("_tf", F.lit(k)) * F.get("_idf2", F.lit(k))
+            held, value = tf[place[id(t)]] > 0, tf[place[id(t)]] * idf2[place[id(t)]]
         change = {">": 1.0, "<": -1.0, "~": -1.0}.get(t.op, 0.0)
         return held, F.when(held, value + change).otherwise(0.0)
 
-    def score_of(terms: list[Term]) -> tuple[Column, Column]:
-        kept = [t for t in terms if t.group or not short[place[id(t)]]]
-        need = [score(t) for t in kept if t.op == "+"]
-        never = [score(t) for t in kept if t.op == "-"]
-        may = [score(t) for t in kept if t.op not in "+-" or t.op == ""]
+    def of_all(listed: list[Term]) -> tuple[Column, Column]:
+        kept = [t for t in listed if not unindexed(t)]
+        need = [of_one(t) for t in kept if t.op == "+"]
+        never = [of_one(t) for t in kept if t.op == "-"]
+        may = [of_one(t) for t in kept if t.op not in ("+", "-")]
         held = F.lit(bool(need or may))
         for h, _ in need:
             held = held & h
@@ -195,7 +185,27 @@ def boolean(df: DataFrame, text_col: str, query: str, rank: str = "rank") -> Dat
             total = total + v
         return held, total
 
-    held, total = score_of(parsed)
+    return of_all(terms)
+
+
+def boolean(df: DataFrame, text_col: str, query: str, rank: str = "rank") -> DataFrame:
+    """Rows that a boolean query matches, with their rank.
+
+    ``+`` must and ``-`` must not be held; ``>`` and ``<`` add and take away 1;
+    ``~`` takes 1 away from a row that holds it; a star ends a prefix; quotes
+    make a phrase; parentheses a group.  A row matches if it holds every ``+``
+    term, no ``-`` term and, where there is no ``+`` term, any other.
+    """
+    parsed = parse_boolean(query)
+    flat = leaves(parsed)
+    if not flat:
+        return df.withColumn(rank, F.lit(0.0)).where(F.lit(False))
+    lowered = df.withColumn("_low", F.lower(F.coalesce(F.col(text_col), F.lit(""))))
+    rows = lowered.withColumn("_tf", F.array(*[count_of(t, F.col("_low")) for t in flat])).drop("_low")
+    scored = rows.join(F.broadcast(_weights(rows, [""] * len(flat))))  # one row
+    held, total = boolean_score(
+        parsed, [F.get("_tf", F.lit(k)) for k in range(len(flat))], [F.get("_idf2", F.lit(k)) for k in range(len(flat))]
+    )
     return scored.withColumn(rank, total.cast("double")).where(held).drop("_tf", "_idf2")
 
 

@@ -110,6 +110,20 @@ def test_transactions_and_variables(db):
     db.execute("DO 1 + 1")
 
 
+def test_catalog(db):
+    assert rows(db, "SELECT table_name FROM information_schema.tables WHERE table_type = 'BASE TABLE' ORDER BY table_name") == [("kid",), ("pa",)]
+    assert rows(db, "SELECT column_name, is_nullable, column_key FROM information_schema.columns WHERE table_name = 'pa' ORDER BY ordinal_position") == [("id", "NO", "PRI"), ("name", "NO", ""), ("amt", "YES", "")]
+    assert rows(db, "SELECT constraint_name, delete_rule FROM information_schema.referential_constraints") == [("fk", "CASCADE")]
+    for name in ("schemata", "statistics", "key_column_usage", "table_constraints", "check_constraints", "views", "engines", "routines"):
+        db.execute(f"SELECT COUNT(*) FROM information_schema.{name}").collect()
+    assert db.execute("SELECT * FROM performance_schema.session_variables").count() > 0
+    with pytest.raises(Unsupported):
+        db.execute("SELECT * FROM information_schema.no_such")
+    assert rows(db, "SELECT LAST_INSERT_ID()") == [(1,)] or rows(db, "SELECT LAST_INSERT_ID()")[0][0] >= 1
+    db.execute("UPDATE pa SET amt = 1 WHERE id < 3")
+    assert rows(db, "SELECT ROW_COUNT()") == [(2,)]
+
+
 def test_types_and_enum(db):
     db.execute("CREATE TABLE ty (a TINYINT UNSIGNED, b BIGINT UNSIGNED, c ENUM('x', 'y'), d DATETIME(3), e TIME, f JSON, g BLOB, h YEAR, i DOUBLE PRECISION, j BOOL)")
     db.execute("INSERT INTO ty (a, b, c, d, f) VALUES (255, 18446744073709551615, 'x', '2024-01-02 03:04:05', '{\"a\": 1}')")

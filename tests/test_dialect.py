@@ -64,6 +64,7 @@ ROWS = [
     ("SELECT id, (SELECT COUNT(*) FROM ch WHERE ch.p_id = p.id) n FROM p ORDER BY 1", [(1, 2), (2, 0), (3, 0)]),
     ("WITH a AS (SELECT id FROM p), b(x) AS (SELECT id + 1 FROM a) SELECT x FROM b ORDER BY x LIMIT 1, 1", [(3,)]),
     ("WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 4) SELECT SUM(n) FROM t", [(10,)]),
+    ("WITH RECURSIVE r(k) AS (SELECT 1 UNION SELECT (k * 2) % 7 FROM r), s AS (SELECT k + 10 AS t FROM r) SELECT t FROM s ORDER BY t", [(11,), (12,), (14,)]),
     ("(SELECT 1 x UNION SELECT 2) UNION ALL (SELECT 1) ORDER BY x", [(1,), (1,), (2,)]),
     ("SELECT id FROM p INTERSECT SELECT p_id FROM ch", [(1,)]),
     ("SELECT id, ROW_NUMBER() OVER (ORDER BY id DESC) r, SUM(id) OVER w s FROM p WINDOW w AS (ORDER BY id ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) ORDER BY id", [(1, 3, 1), (2, 2, 3), (3, 1, 5)]),
@@ -103,6 +104,18 @@ def test_against_duckdb(db, text):
     assert ours == theirs
 
 
+def test_full_text(spark, db):
+    from tesserql.operators import fulltext
+
+    texts = ["The database engine stores rows", "engines and a database", None, "search the database engine", "nothing"]
+    spark.createDataFrame(list(enumerate(texts)), "id int, body string").createOrReplaceTempView("notes")
+    for words, mode, fn in (("database engine", "", fulltext.natural), ("+database -rows >search", " IN BOOLEAN MODE", fulltext.boolean), ("engin*", " IN BOOLEAN MODE", fulltext.boolean)):
+        match = f"MATCH (body) AGAINST ('{words}'{mode})"
+        got = {r.id: r.score for r in db.sql(f"SELECT id, {match} AS score FROM notes n WHERE {match} ORDER BY score DESC").collect()}
+        want = {r.id: r.rank for r in fn(spark.table("notes"), "body", words).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want), words
+
+
 def test_parameters_and_variables(db):
     db.set("@least", 2)
     assert [r.id for r in db.sql("SELECT id FROM p WHERE id >= @least AND name <> ? ORDER BY id", "it's").collect()] == [2, 3]
@@ -121,7 +134,7 @@ def test_refused_text(db, text):
         db.sql(text)
 
 
-@pytest.mark.parametrize("text", ["SELECT MATCH (a) AGAINST ('x') FROM p", "SELECT * FROM JSON_TABLE('[]', '$' COLUMNS (a INT PATH '$')) t", "SELECT @x := 1", "SELECT 1 INTO @x", "SELECT SUM(DISTINCT id) OVER () FROM p", "SELECT * FROM information_schema.tables"])
+@pytest.mark.parametrize("text", ["SELECT MATCH (name) AGAINST ('x' WITH QUERY EXPANSION) FROM p", "SELECT MATCH (name) AGAINST (name) FROM p", "SELECT * FROM JSON_TABLE('[]', '$' COLUMNS (a INT PATH '$')) t", "SELECT @x := 1", "SELECT 1 INTO @x", "SELECT SUM(DISTINCT id) OVER () FROM p", "SELECT * FROM information_schema.tables"])
 def test_clauses_that_are_named_and_refused(db, text):
     with pytest.raises(Unsupported):
         db.sql(text)
