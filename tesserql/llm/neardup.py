@@ -13,9 +13,10 @@ verified exactly on their full sets of ``WIDTH``-word shingles.
 Texts with equal words are one node before that, so a group of copies of any
 size is one node.  Among up to ``ALL_PAIRS`` nodes of one part fingerprint all
 pairs are candidates.  In larger groups every node is paired with the group's
-first; nodes that this leaves without a verified link are then paired with
-``NEXT`` followers among such nodes of their bucket.  Links of large groups therefore rest on
-the first nodes of 16 groupings instead of all pairs.
+first; then, turn by turn, with ``NEXT`` followers in an order that changes with
+the turn, as far as these are in another class, until ``IDLE`` turns link nothing.
+All pairs of a large group would grow with its square; the turns find its
+classes by many paths instead.
 
 Null and empty texts have no shingles and are copies of each other.  Rows are
 told apart by file and position, not by id, so null and repeated ids do no
@@ -44,6 +45,8 @@ PARTS = 16
 SHINGLES = 4
 ALL_PAIRS = 16
 NEXT = 8
+#: Turns without a new link after which large groups are done.
+IDLE = 2
 #: Members of a large group that are ordered together, about.
 BUCKET = 256
 
@@ -138,6 +141,27 @@ def hash_sets(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return map_arrow(wanted, run, "key long, hashes binary")
 
 
+def _neighbours(large: DataFrame, links: DataFrame, turn: int) -> DataFrame | None:
+    """Pairs of members of large groups that are near each other in an order of
+    this turn and in different classes so far; None if there are none."""
+    classes = components(links)
+    member = large.join(classes, large.key == classes.node, "left").select(
+        "part", "key", "n", F.coalesce("component", "key").alias("class")
+    )
+    # a group of any size is dealt to several tasks, anew each turn
+    bucket = F.pmod(F.xxhash64("key", "part", F.lit(turn)), F.ceil(F.col("n") / BUCKET))
+    order = Window.partitionBy("part", bucket).orderBy(F.xxhash64("part", "key", F.lit(-1 - turn)))
+    pair = F.struct("key", "class")
+    after = F.array(*[F.lead(pair, k).over(order) for k in range(1, NEXT + 1)])
+    met = member.select("key", "class", after.alias("after")).select("key", "class", F.explode("after").alias("y"))
+    new = checkpointed(
+        met.where(F.col("y").isNotNull() & (F.col("y.class") != F.col("class")))
+        .select(F.greatest("key", "y.key").alias("a"), F.least("key", "y.key").alias("b"))
+        .distinct()
+    )
+    return None if new.isEmpty() else new
+
+
 def near_duplicates(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """``(key, group)`` of every row of ``(key long, text)`` with different
     keys; rows of one group are copies or linked by that similarity."""
@@ -159,9 +183,9 @@ def near_duplicates(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
     grouped = members.join(groups, "part")
     small = grouped.where(F.col("n") <= ALL_PAIRS).select("part", "key")
     pairs = small.alias("x").join(small.alias("y"), "part").where("x.key > y.key").select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
-    large = grouped.where((F.col("n") > ALL_PAIRS) & (F.col("key") > F.col("first")))
+    large = checkpointed(grouped.where(F.col("n") > ALL_PAIRS).select("part", "key", "n", "first"))
     candidates = checkpointed(
-        pairs.union(large.select(F.col("key").alias("a"), F.col("first").alias("b")))
+        pairs.union(large.where("key > first").select(F.col("key").alias("a"), F.col("first").alias("b")))
         .union(same).union(near)
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct()
@@ -169,17 +193,12 @@ def near_duplicates(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
     nodes = candidates.select(F.col("a").alias("key")).union(candidates.select("b")).union(large.select("key")).distinct()
     sets = checkpointed(hash_sets(rows, nodes))
     links = checkpointed(similar(candidates, sets, least))
-    # members of large groups that have no link yet, among themselves
-    linked = links.select(F.col("a").alias("key")).union(links.select("b")).distinct()
-    alone = checkpointed(large.select("part", "key", "n").join(linked, "key", "left_anti"))
-    if not alone.isEmpty():
-        # a group of any size is dealt to several tasks
-        bucket = F.pmod(F.xxhash64("key", "part"), F.ceil(F.col("n") / BUCKET))
-        order = Window.partitionBy("part", bucket).orderBy("key")
-        after = F.array(*[F.lead("key", k).over(order) for k in range(1, NEXT + 1)])
-        follow = alone.select(F.col("key").alias("b"), after.alias("after")).select("b", F.explode("after").alias("a"))
-        more = follow.where("a is not null").distinct().join(candidates, ["a", "b"], "left_anti")
-        links = links.union(similar(more, sets, least))
+    turn = idle = 0
+    while idle < IDLE and (more := _neighbours(large, links, turn)):
+        found = checkpointed(similar(more, sets, least))
+        idle = idle + 1 if found.isEmpty() else 0
+        links = checkpointed(links.union(found))
+        turn += 1
     classes = components(links)
     of_copy = copies.join(classes, copies.key == classes.node, "left").select(
         "copy", F.coalesce("component", "key").alias("group")
