@@ -15,6 +15,7 @@ size is one node.  Among up to ``ALL_PAIRS`` nodes of one part fingerprint all
 pairs are candidates.  In larger groups every node is paired with the group's
 first; then, turn by turn, with ``NEXT`` followers in an order that changes with
 the turn, as far as these are in another class, until ``IDLE`` turns link nothing.
+After the first turn, one of the two has to have a link already.
 All pairs of a large group would grow with its square; the turns find its
 classes by many paths instead.
 
@@ -44,7 +45,7 @@ SIMILARITY = 0.8
 PARTS = 16
 SHINGLES = 4
 ALL_PAIRS = 16
-NEXT = 8
+NEXT = 4
 #: Turns without a new link after which large groups are done.
 IDLE = 2
 #: Members of a large group that are ordered together, about.
@@ -146,14 +147,16 @@ def _neighbours(large: DataFrame, links: DataFrame, turn: int) -> DataFrame | No
     this turn and in different classes so far; None if there are none."""
     classes = components(links)
     member = large.join(classes, large.key == classes.node, "left").select(
-        "part", "key", "n", F.coalesce("component", "key").alias("class")
+        "part", "key", "n", F.coalesce("component", "key").alias("class"), F.col("component").isNotNull().alias("linked")
     )
     # a group of any size is dealt to several tasks, anew each turn
     bucket = F.pmod(F.xxhash64("key", "part", F.lit(turn)), F.ceil(F.col("n") / BUCKET))
     order = Window.partitionBy("part", bucket).orderBy(F.xxhash64("part", "key", F.lit(-1 - turn)))
-    pair = F.struct("key", "class")
+    pair = F.struct("key", "class", "linked")
     after = F.array(*[F.lead(pair, k).over(order) for k in range(1, NEXT + 1)])
-    met = member.select("key", "class", after.alias("after")).select("key", "class", F.explode("after").alias("y"))
+    met = member.select("key", "class", "linked", after.alias("after")).select("key", "class", "linked", F.explode("after").alias("y"))
+    if turn:  # two texts without any link have met others of their group already
+        met = met.where(F.col("linked") | F.col("y.linked"))
     new = checkpointed(
         met.where(F.col("y").isNotNull() & (F.col("y.class") != F.col("class")))
         .select(F.greatest("key", "y.key").alias("a"), F.least("key", "y.key").alias("b"))
