@@ -77,3 +77,21 @@ def test_one_row_of_each_group_stays(spark):
     assert neardup.keep_first(empty_documents(spark)).collect() == []
     twice = spark.createDataFrame([(None, "a b c d e f g", "en", "s", 1, *[None] * 7)] * 3, SCHEMA)
     assert neardup.keep_first(twice).count() == 1
+
+
+def pairs_below_boilerplate(n):
+    """``n`` pairs of similar texts; all texts share most of their words, which
+    alone makes none similar."""
+    shared = [f"s{k}" for k in range(204)]
+    return [" ".join([*shared, *[f"p{i}.{k}" for k in range(16)], *[f"o{i}.{side}.{k}" for k in range(22)]]) for i in range(n) for side in "ab"]
+
+
+def pairs_of(spark, texts):
+    groups = {}
+    for r in neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "key long, text string")).collect():
+        groups.setdefault(r.group, set()).add(r.key)
+    return sorted(map(sorted, groups.values()))
+
+
+def test_pairs_without_a_link_meet_in_later_turns(spark):
+    assert pairs_of(spark, pairs_below_boilerplate(40)) == [[2 * i, 2 * i + 1] for i in range(40)]
