@@ -13,10 +13,9 @@ verified exactly on their full sets of ``WIDTH``-word shingles.
 Texts with equal words are one node before that, so a group of copies of any
 size is one node.  Among up to ``ALL_PAIRS`` nodes of one part fingerprint all
 pairs are candidates.  In larger groups every node is paired with the group's
-first; then, turn by turn, with ``NEXT`` followers in an order that changes with
-the turn, as far as these are in another class, until ``IDLE`` turns link nothing.
-All pairs of a large group would grow with its square; the turns find its
-classes by many paths instead.
+first; then all members of larger groups that are in different classes so far
+go through an exact join on the rarest of their shingles (:func:`rare_pairs`),
+which leaves out no pair of that similarity.
 
 Null and empty texts have no shingles and are copies of each other.  Rows are
 told apart by file and position, not by id, so null and repeated ids do no
@@ -44,11 +43,6 @@ SIMILARITY = 0.8
 PARTS = 16
 SHINGLES = 4
 ALL_PAIRS = 16
-NEXT = 8
-#: Turns without a new link after which large groups are done.
-IDLE = 2
-#: Members of a large group that are ordered together, about.
-BUCKET = 256
 
 
 def shingle_hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -141,25 +135,49 @@ def hash_sets(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return map_arrow(wanted, run, "key long, hashes binary")
 
 
-def _neighbours(large: DataFrame, links: DataFrame, turn: int) -> DataFrame | None:
-    """Pairs of members of large groups that are near each other in an order of
-    this turn and in different classes so far; None if there are none."""
-    classes = components(links)
-    member = large.join(classes, large.key == classes.node, "left").select(
-        "part", "key", "n", F.coalesce("component", "key").alias("class")
+def shingle_rows(sets: DataFrame) -> DataFrame:
+    """``(key, n, h)``: each shingle of the sets ``(key, hashes)``, and their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(1)]
+            n = np.array([len(x) for x in held], np.int64)
+            key = np.repeat(batch.column(0).to_numpy(), n)
+            h = np.concatenate(held) if held else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key, np.repeat(n, n), h)], ["key", "n", "h"])
+
+    return map_arrow(sets, run, "key long, n long, h long")
+
+
+def rare_pairs(sets: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """Pairs ``(a, b)`` of the sets in different classes, among them all that
+    are so similar: a prefix-filter join.
+
+    In an order of all shingles, rarest first, two sets of n >= m shingles that
+    share at least o have their first common one among the first n - o + 1 and
+    m - o + 1; o is at least ``least`` n, and 2 ``least`` / (1 + ``least``) m.
+    """
+    shingles = checkpointed(shingle_rows(sets))
+    counts = shingles.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    at = F.row_number().over(Window.partitionBy("key").orderBy(F.coalesce("df", F.lit(1)), "h")) - 1
+    # a hair's breadth more, as products of doubles may be too large
+    longer, shorter = (F.col("n") - F.ceil(F.col("n") * part - 1e-6) for part in (least, 2 * least / (1 + least)))
+    first = shingles.join(counts, "h", "left").withColumn("at", at).where((F.col("at") <= longer) & F.col("df").isNotNull())
+    first = checkpointed(
+        first.join(classes, first.key == classes.node, "left")
+        .select("key", "n", "h", "at", F.coalesce("component", "key").alias("class"), (F.col("at") <= shorter).alias("short"))
     )
-    # a group of any size is dealt to several tasks, anew each turn
-    bucket = F.pmod(F.xxhash64("key", "part", F.lit(turn)), F.ceil(F.col("n") / BUCKET))
-    order = Window.partitionBy("part", bucket).orderBy(F.xxhash64("part", "key", F.lit(-1 - turn)))
-    pair = F.struct("key", "class")
-    after = F.array(*[F.lead(pair, k).over(order) for k in range(1, NEXT + 1)])
-    met = member.select("key", "class", after.alias("after")).select("key", "class", F.explode("after").alias("y"))
-    new = checkpointed(
-        met.where(F.col("y").isNotNull() & (F.col("y.class") != F.col("class")))
-        .select(F.greatest("key", "y.key").alias("a"), F.least("key", "y.key").alias("b"))
-        .distinct()
+    mixed = first.groupBy("h").agg(F.min("class").alias("l"), F.max("class").alias("m")).where("l < m").select("h")
+    first = first.join(mixed, "h", "left_semi")
+    x, y = first.alias("x"), first.where("short").alias("y")
+    on = (
+        (F.col("x.h") == F.col("y.h"))
+        & (F.struct("x.n", "x.key") > F.struct("y.n", "y.key"))
+        & (F.col("x.class") != F.col("y.class"))
+        # what is left from the first common one on has to suffice
+        & (F.least(F.expr("x.n - x.at"), F.expr("y.n - y.at")) * (1 + least) >= F.expr("x.n + y.n") * least - 1e-6)
     )
-    return None if new.isEmpty() else new
+    return x.join(y, on).select(F.greatest("x.key", "y.key").alias("a"), F.least("x.key", "y.key").alias("b")).distinct()
 
 
 def near_duplicates(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -193,12 +211,10 @@ def near_duplicates(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
     nodes = candidates.select(F.col("a").alias("key")).union(candidates.select("b")).union(large.select("key")).distinct()
     sets = checkpointed(hash_sets(rows, nodes))
     links = checkpointed(similar(candidates, sets, least))
-    turn = idle = 0
-    while idle < IDLE and (more := _neighbours(large, links, turn)):
-        found = checkpointed(similar(more, sets, least))
-        idle = idle + 1 if found.isEmpty() else 0
-        links = checkpointed(links.union(found))
-        turn += 1
+    # the exact way for members of large groups
+    within = sets.join(large.select("key").distinct(), "key", "left_semi")
+    more = checkpointed(rare_pairs(within, components(links), least))
+    links = checkpointed(links.union(similar(more, sets, least)))
     classes = components(links)
     of_copy = copies.join(classes, copies.key == classes.node, "left").select(
         "copy", F.coalesce("component", "key").alias("group")

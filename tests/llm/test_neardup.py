@@ -95,3 +95,23 @@ def pairs_of(spark, texts):
 
 def test_pairs_without_a_link_meet_in_later_turns(spark):
     assert pairs_of(spark, pairs_below_boilerplate(40)) == [[2 * i, 2 * i + 1] for i in range(40)]
+
+
+def test_pairs_in_large_groups_are_complete(spark):
+    assert pairs_of(spark, pairs_below_boilerplate(1000)) == [[2 * i, 2 * i + 1] for i in range(1000)]
+
+
+def test_rare_pairs_hold_all_similar_pairs(spark):
+    rng = random.Random(7)
+    sets = [set(rng.sample(range(40), rng.randint(1, 30))) for _ in range(60)]
+    sets += [s ^ set(rng.sample(range(40), rng.randint(0, 3))) or {1} for s in sets for _ in range(3)]
+    rows = [(i, neardup.np.array(sorted(s), neardup.np.uint64).tobytes()) for i, s in enumerate(sets)]
+    frame = spark.createDataFrame(rows, "key long, hashes binary")
+    for least in (0.5, 0.8, 0.9):
+        near = {(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])}
+        none = spark.createDataFrame([], "node long, component long")
+        found = {tuple(r) for r in neardup.rare_pairs(frame, none, least).collect()}
+        assert near <= found
+        one = spark.createDataFrame([(i, 0) for i in range(0, len(sets), 2)], "node long, component long")
+        apart = {(a, b) for a, b in near if a % 2 or b % 2}
+        assert apart <= {tuple(r) for r in neardup.rare_pairs(frame, one, least).collect()}
