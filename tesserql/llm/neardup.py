@@ -13,9 +13,9 @@ verified exactly on their full sets of ``WIDTH``-word shingles.
 Texts with equal words are one node before that, so a group of copies of any
 size is one node.  Among up to ``ALL_PAIRS`` nodes of one part fingerprint all
 pairs are candidates.  In larger groups every node is paired with the group's
-first; then all members of larger groups that are in different classes so far
-go through an exact join on the rarest of their shingles (:func:`rare_pairs`),
-which leaves out no pair of that similarity.
+first; then all members of larger groups and all texts of up to ``FEW`` shingles
+that are in different classes so far go through an exact join on the rarest of
+their shingles (:func:`rare_pairs`), which leaves out no pair of that similarity.
 
 Null and empty texts have no shingles and are copies of each other.  Rows are
 told apart by file and position, not by id, so null and repeated ids do no
@@ -43,6 +43,9 @@ SIMILARITY = 0.8
 PARTS = 16
 SHINGLES = 4
 ALL_PAIRS = 16
+#: Texts with so few shingles are joined exactly: their part fingerprints are
+#: drawn from too few to be independent.
+FEW = 40
 
 
 def shingle_hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -78,18 +81,19 @@ def part_fingerprints(hashes: np.ndarray, factors: np.ndarray) -> list[int]:
 
 
 def signatures(rows: DataFrame) -> DataFrame:
-    """``(key, copy binary, fp long, parts array<long>)`` of ``(key, text)``."""
+    """``(key, copy binary, fp long, parts array<long>, n int)`` of ``(key, text)``; n counts shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = multipliers()
         for batch in batches:
-            copies, fps, parts = [], [], []
+            copies, fps, parts, sizes = [], [], [], []
             for t in batch.column(1):
                 text = t.as_py() or ""
                 copies.append(xxhash.xxh3_128_digest(b" ".join(text.encode("utf-8", "surrogatepass").lower().split())))
                 hashes = shingle_hashes(text)
                 fps.append(majority(hashes) if len(hashes) else 0)
                 parts.append(part_fingerprints(hashes, factors) if len(hashes) else [])
+                sizes.append(len(hashes))
             signed = [np.array(p, np.uint64).view(np.int64) for p in parts]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -97,11 +101,12 @@ def signatures(rows: DataFrame) -> DataFrame:
                     pa.array(copies, pa.binary()),
                     pa.array(np.array(fps, np.uint64).view(np.int64)),
                     pa.array(signed, pa.list_(pa.int64())),
+                    pa.array(sizes, pa.int32()),
                 ],
-                ["key", "copy", "fp", "parts"],
+                ["key", "copy", "fp", "parts", "n"],
             )
 
-    return map_arrow(rows, run, "key long, copy binary, fp long, parts array<long>")
+    return map_arrow(rows, run, "key long, copy binary, fp long, parts array<long>, n int")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -184,7 +189,7 @@ def near_duplicates(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """``(key, group)`` of every row of ``(key long, text)`` with different
     keys; rows of one group are copies or linked by that similarity."""
     signed = checkpointed(signatures(rows))
-    copies = checkpointed(signed.groupBy("copy").agg(F.min_by(F.struct("key", "fp", "parts"), "key").alias("n")).select("copy", "n.*"))
+    copies = checkpointed(signed.groupBy("copy").agg(F.min_by(F.struct("key", "fp", "parts", "n"), "key").alias("x")).select("copy", "x.*"))
     # nodes of equal whole fingerprints and of those at 2 or fewer bits
     fps = copies.groupBy("fp").agg(F.min("key").alias("first"))
     same = copies.join(fps, "fp").where("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b"))
@@ -208,12 +213,12 @@ def near_duplicates(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct()
     )
-    nodes = candidates.select(F.col("a").alias("key")).union(candidates.select("b")).union(large.select("key")).distinct()
+    # the exact way for members of large groups and short texts
+    exact = checkpointed(large.select("key").union(copies.where(F.col("n").between(1, FEW)).select("key")).distinct())
+    nodes = candidates.select(F.col("a").alias("key")).union(candidates.select("b")).union(exact).distinct()
     sets = checkpointed(hash_sets(rows, nodes))
     links = checkpointed(similar(candidates, sets, least))
-    # the exact way for members of large groups
-    within = sets.join(large.select("key").distinct(), "key", "left_semi")
-    more = checkpointed(rare_pairs(within, components(links), least))
+    more = checkpointed(rare_pairs(sets.join(exact, "key", "left_semi"), components(links), least))
     links = checkpointed(links.union(similar(more, sets, least)))
     classes = components(links)
     of_copy = copies.join(classes, copies.key == classes.node, "left").select(

@@ -115,3 +115,9 @@ def test_rare_pairs_hold_all_similar_pairs(spark):
         one = spark.createDataFrame([(i, 0) for i in range(0, len(sets), 2)], "node long, component long")
         apart = {(a, b) for a, b in near if a % 2 or b % 2}
         assert apart <= {tuple(r) for r in neardup.rare_pairs(frame, one, least).collect()}
+
+
+def test_pairs_of_short_texts_are_complete(spark):
+    whole = [[f"t{i}.{k}" for k in range(9)] for i in range(400)]  # 5 shingles, and 4 of them
+    texts = [" ".join(t) for words in whole for t in (words, words[:-1])]
+    assert pairs_of(spark, texts) == [[2 * i, 2 * i + 1] for i in range(400)]
