@@ -34,6 +34,12 @@ def join_right(spark: SparkSession, sf: str) -> DataFrame:
     return few.join(table(spark, sf, "supplier"), F.col("o_orderkey") == F.col("s_suppkey"), "right").select("o_orderkey", "s_suppkey", "s_name")
 
 
+@query("SELECT o_orderkey, s_suppkey, s_name FROM orders RIGHT JOIN supplier ON o_orderkey = s_suppkey")
+def join_right_whole(spark: SparkSession, sf: str) -> DataFrame:
+    orders = table(spark, sf, "orders").select("o_orderkey")
+    return orders.join(table(spark, sf, "supplier"), F.col("o_orderkey") == F.col("s_suppkey"), "right").select("o_orderkey", "s_suppkey", "s_name")
+
+
 @query("SELECT r_name, n_name FROM region CROSS JOIN nation")
 def join_cross(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "region").crossJoin(table(spark, sf, "nation")).select("r_name", "n_name")
@@ -120,7 +126,19 @@ def join_lateral_topn(spark: SparkSession, sf: str) -> DataFrame:
     ON l_extendedprice BETWEEN low AND high
 """)
 def join_range(spark: SparkSession, sf: str) -> DataFrame:
-    parts = table(spark, sf, "part").where("p_partkey <= 60")
+    return _in_ranges(spark, sf, table(spark, sf, "part").where("p_partkey <= 60"))
+
+
+@query("""
+    SELECT l_orderkey, l_linenumber, p_partkey FROM lineitem
+    JOIN (SELECT p_partkey, p_size * 40.0 AS low, p_size * 40.0 + 25 AS high FROM part) p
+    ON l_extendedprice BETWEEN low AND high
+""")
+def join_range_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return _in_ranges(spark, sf, table(spark, sf, "part"))
+
+
+def _in_ranges(spark: SparkSession, sf: str, parts: DataFrame) -> DataFrame:
     ranges = parts.select("p_partkey", (F.col("p_size") * 40.0).alias("low"), (F.col("p_size") * 40.0 + 25).alias("high"))
     points = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
     return j.range_join(points, "l_extendedprice", ranges, "low", "high", 50.0).select("l_orderkey", "l_linenumber", "p_partkey")

@@ -96,8 +96,24 @@ def hash_functions(spark: SparkSession, sf: str) -> DataFrame:
     FROM lineitem WHERE l_orderkey < 2000
 """)
 def num_division(spark: SparkSession, sf: str) -> DataFrame:
+    return _divided(table(spark, sf, "lineitem").where("l_orderkey < 2000"))
+
+
+@query("""
+    SELECT l_orderkey, l_linenumber,
+           CAST(CASE WHEN l_linenumber - 3 = 0 THEN NULL ELSE (CASE WHEN (l_orderkey * 10000 / 1.0) / (l_linenumber - 3) < 0 THEN -1 ELSE 1 END)
+                * ((2 * l_orderkey * 10000 + abs(l_linenumber - 3)) // (2 * abs(l_linenumber - 3))) END AS BIGINT) AS quotient_in_ten_thousandths,
+           CASE WHEN l_linenumber - 3 = 0 THEN NULL ELSE l_orderkey % (l_linenumber - 3) END AS modulo,
+           CASE WHEN l_linenumber - 3 = 0 THEN NULL ELSE CAST(sign(l_linenumber - 3) AS BIGINT) * (l_orderkey // abs(l_linenumber - 3)) END AS int_quotient
+    FROM lineitem
+""")
+def num_division_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return _divided(table(spark, sf, "lineitem"))
+
+
+def _divided(items: DataFrame) -> DataFrame:
     d = F.col("l_linenumber") - 3
-    return table(spark, sf, "lineitem").where("l_orderkey < 2000").select(
+    return items.select(
         "l_orderkey", "l_linenumber", (m.divide("l_orderkey", d) * 10000).cast("bigint").alias("quotient_in_ten_thousandths"),
         m.mod("l_orderkey", d).cast("bigint").alias("modulo"), m.div("l_orderkey", d).alias("int_quotient"),
     )

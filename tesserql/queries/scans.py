@@ -128,6 +128,12 @@ def row_comparison(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").where((F.col("l_orderkey") < 300) & less).select("l_orderkey", "l_linenumber")
 
 
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_quantity, l_linenumber) < (20, 3)")
+def row_comparison_whole(spark: SparkSession, sf: str) -> DataFrame:
+    q, n = F.col("l_quantity"), F.col("l_linenumber")
+    return table(spark, sf, "lineitem").where((q < 20) | ((q == 20) & (n < 3))).select("l_orderkey", "l_linenumber")
+
+
 @query("SELECT s_suppkey FROM supplier WHERE (s_nationkey, s_suppkey % 5) IN ((1, 1), (2, 3), (7, 0))")
 def row_in_list(spark: SparkSession, sf: str) -> DataFrame:
     pair = F.struct(F.col("s_nationkey").cast("bigint").alias("a"), (F.col("s_suppkey") % 5).alias("b"))
@@ -142,9 +148,23 @@ def row_in_list(spark: SparkSession, sf: str) -> DataFrame:
     FROM lineitem WHERE l_orderkey < 500
 """)
 def bit_operators(spark: SparkSession, sf: str) -> DataFrame:
+    return _bits(table(spark, sf, "lineitem").where("l_orderkey < 500"))
+
+
+@query("""
+    SELECT l_orderkey, l_linenumber, l_orderkey & 12 AS bit_and, l_orderkey | 1 AS bit_or, xor(l_orderkey, 255) AS bit_xor,
+           l_orderkey << 3 AS shift_left, l_orderkey >> 2 AS shift_right,
+           CAST(bit_count(l_orderkey) AS INTEGER) AS bits
+    FROM lineitem
+""")
+def bit_operators_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return _bits(table(spark, sf, "lineitem"))
+
+
+def _bits(items: DataFrame) -> DataFrame:
     from tesserql.functions import numeric as m
 
-    return table(spark, sf, "lineitem").where("l_orderkey < 500").select(
+    return items.select(
         "l_orderkey", "l_linenumber",
         m.bit_and("l_orderkey", 12).alias("bit_and"), m.bit_or("l_orderkey", 1).alias("bit_or"), m.bit_xor("l_orderkey", 255).alias("bit_xor"),
         m.shift_left("l_orderkey", 3).cast("bigint").alias("shift_left"), m.shift_right("l_orderkey", 2).cast("bigint").alias("shift_right"),
