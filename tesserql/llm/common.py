@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Rows and bytes in one Arrow batch; texts may be very long.
 BATCH_ROWS = "2000"
@@ -48,18 +49,41 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` as a table written to the shared folder, with its lineage cut."""
+#: Lets Spark delete a write's shuffle files when it has ended.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` as a table written to the shared folder, with its lineage cut, and
+    the table's path.  The shuffle files of the write are not kept."""
     spark = df.sparkSession
     path = fresh_dir(spark, "table")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEAN, None)
+    if before is not None:  # else a Spark without that setting
+        spark.conf.set(CLEAN, "true")
+    try:
+        df.select("*").write.parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` as a table written to the shared folder, with its lineage cut."""
+    return written(df)[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def map_arrow(
     df: DataFrame,
     fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-    schema: str,
+    schema: str | StructType,
 ) -> DataFrame:
     """``mapInArrow`` with bounded batches."""
     small_batches(df.sparkSession)

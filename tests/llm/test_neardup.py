@@ -16,8 +16,7 @@ def edited(rng, words, n):
     return words
 
 
-def test_groups_match_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "ALL_PAIRS", 6)
+def test_groups_match_brute_force(spark):
     rng = random.Random(1)
     texts = []
     for _ in range(30):
@@ -50,9 +49,8 @@ def test_groups_match_brute_force(spark, monkeypatch):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, slow.values()))
 
 
-def test_members_of_large_groups_that_miss_the_first(spark, monkeypatch):
+def test_members_of_large_groups_that_miss_the_first(spark):
     """Two clusters share part fingerprints with a first node unlike both."""
-    monkeypatch.setattr(neardup, "ALL_PAIRS", 3)
     rng = random.Random(4)
     shared = [f"s{k}" for k in range(60)]
     first = " ".join([*shared, *[f"f{k}" for k in range(200)]])
@@ -121,3 +119,41 @@ def test_pairs_of_short_texts_are_complete(spark):
     whole = [[f"t{i}.{k}" for k in range(9)] for i in range(400)]  # 5 shingles, and 4 of them
     texts = [" ".join(t) for words in whole for t in (words, words[:-1])]
     assert pairs_of(spark, texts) == [[2 * i, 2 * i + 1] for i in range(400)]
+
+
+def test_no_similar_pair_is_ruled_out_by_its_prefix(spark):
+    """All pairs of sizes up to 60 at the threshold keep both nodes."""
+    rng = random.Random(3)
+    rows, pairs = [], []
+    for n in range(1, 61):
+        for m in range(-(-4 * n // 5), n + 1):
+            same = -(-4 * (n + m) // 9)  # fewest that make 0.8
+            x = [rng.getrandbits(64) for _ in range(n)]
+            y = x[:same] + [rng.getrandbits(64) for _ in range(m - same)]
+            if same <= m:
+                pairs.append((len(rows), len(rows) + 1))
+                rows += [sorted(x), sorted(y)]
+    frame = spark.createDataFrame(
+        [(i, len(s), [h - (h >> 63 << 64) for h in s[: neardup.prefix_length(len(s))]]) for i, s in enumerate(rows)],
+        "node long, n int, prefix array<long>",
+    )
+    left = {r.node for r in neardup.partnered(frame).collect()}
+    assert {i for p in pairs for i in p} <= left
+
+
+def test_texts_of_one_repeated_word_are_similar(spark):
+    assert pairs_of(spark, ["a " * 8, "a " * 9, "a " * 4, "b " * 9]) == [[0, 1], [2], [3]]
+
+
+def test_columns_of_any_name_return_unchanged(spark, tmp_path):
+    names = ["_place", "_file", "_at", "file", "at", "node", "group", "key", "copy", "h", "n", "_metadata"]
+    rows = [(i, f"one two three four five {i // 2}", *[f"{c}{i}" for c in names]) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names))
+    docs.write.parquet(f"file://{tmp_path}/docs")
+    for table in (docs, spark.read.parquet(f"file://{tmp_path}/docs")):
+        kept = neardup.keep_first(table)
+        assert kept.columns == docs.columns
+        assert sorted(map(tuple, kept.collect())) == rows[::2]
+    # rows of one file read twice are rows of their own
+    twice = spark.read.parquet(f"file://{tmp_path}/docs").withColumn("doc_id", neardup.F.explode(neardup.F.array("doc_id", neardup.F.lit(9))))
+    assert sorted(r.doc_id for r in neardup.keep_first(twice).collect()) == [0, 2, 4]
