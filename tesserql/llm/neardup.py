@@ -13,8 +13,8 @@ prefix-filter join that leaves out no pair of that similarity:
    all texts leaves few nodes, and those are told by counts alone: no pairs.
 3. The shingles of the nodes that are left are ordered rarest first, so that
    passages which many texts share come last, out of most prefixes
-   (:func:`rare_prefixes`).  Each node is paired with the smallest node of each
-   of its prefix shingles (:func:`star_pairs`); verified links make classes.
+   (:func:`rare_prefixes`).  Each node is paired with one node of each of its
+   prefix shingles (:func:`star_pairs`); verified links make classes.
 4. Pairs with a common prefix shingle and in different classes so far are
    verified as well (:func:`cross_pairs`).  Nothing is capped.
 
@@ -177,8 +177,9 @@ def shingle_rows(sets: DataFrame) -> DataFrame:
 
 
 def rare_prefixes(sets: DataFrame, least: float) -> DataFrame:
-    """``(key, n, h, at, short)``: the shared shingles among the first ones of
-    each set, in an order of all shingles, rarest first.
+    """``(key, n, own, h, at, short)``: the shared shingles among the first ones
+    of each set, in an order of all shingles, rarest first; own is the share of
+    its shingles that no other set has.
 
     Two sets of n >= m shingles that share at least o have their first common
     one among the first n - o + 1 and m - o + 1; o is at least ``least`` n, and
@@ -188,15 +189,20 @@ def rare_prefixes(sets: DataFrame, least: float) -> DataFrame:
     counts = checkpointed(rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"))
     # counted from the end, as the shingles that no other set has come first
     back = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("df"), F.desc("h")))
+    own = 1 - F.count("*").over(Window.partitionBy("key")) / F.col("n")
     longer, shorter = (F.col("n") - F.ceil(F.col("n") * part - HAIR) for part in (least, 2 * least / (1 + least)))
-    placed = rows.join(counts, "h").withColumn("at", F.col("n") - back)
-    return placed.where(F.col("at") <= longer).select("key", "n", "h", "at", (F.col("at") <= shorter).alias("short"))
+    placed = rows.join(counts, "h").withColumn("at", F.col("n") - back).withColumn("own", own)
+    return placed.where(F.col("at") <= longer).select("key", "n", "own", "h", "at", (F.col("at") <= shorter).alias("short"))
 
 
 def star_pairs(prefixes: DataFrame, least: float) -> DataFrame:
-    """Pairs ``(a, b)`` of each set and the smallest set with one of its prefix
-    shingles, as far as their sizes allow."""
-    firsts = prefixes.groupBy("h").agg(F.min(F.struct("key", "n")).alias("first"), F.count("*").alias("g")).where("g > 1")
+    """Pairs ``(a, b)`` of each set and, for each of its prefix shingles, the
+    set with it that has the least of its own, as far as their sizes allow.
+
+    In a group of edited copies that set is the least edited one, to which the
+    others are more similar than to each other.
+    """
+    firsts = prefixes.groupBy("h").agg(F.min(F.struct("own", "key", "n")).alias("first"), F.count("*").alias("g")).where("g > 1")
     both = prefixes.join(firsts.select("h", F.col("first.key").alias("b"), F.col("first.n").alias("m")), "h")
     return both.where((F.col("key") != F.col("b")) & (F.least("n", "m") >= F.greatest("n", "m") * least - HAIR)).select(
         F.col("key").alias("a"), "b"
