@@ -16,8 +16,8 @@ corpus.  The model has that size too.
 Null texts and texts without a letter are ``und`` with score 0.  Training skips
 rows with a null text, language or id; without any training row all documents
 are ``und``.  A null id counts as held out.  Ties go to the language that sorts
-first.  Words longer than the batch width take a scalar path; texts are never
-cut.  Repeated rows are independent, an empty table gives an empty result, and
+first.  Words of any length are whole, in learning and in scoring, and so are
+texts.  Repeated rows are independent, an empty table gives an empty result, and
 other columns are neither read nor returned.
 """
 
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -38,16 +39,19 @@ from pyspark.sql import functions as F
 from tesserql.llm.common import map_arrow
 
 MARK = "▁"
-#: Longest piece that takes part, in characters with the mark.
-LONGEST = 12
-#: Widest word, with its mark, of the batch path.
+#: Widest word, with its mark, whose probability is not computed in logarithms.
 WIDE = 26
-#: Words that one batch of the forward algorithm holds.
+#: Words that one batch of the forward algorithm holds; fewer, if they are wider.
 BATCH = 4096
 #: Share of probability that goes to all pieces alike.
 SMOOTH = 0.02
-#: Scores of words that a worker keeps.
+#: Words that a worker counts at once, or keeps the scores of; fewer scores, if
+#: the languages are so many that these take more than KEEP_BYTES.
 KEEP_WORDS = 600_000
+KEEP_BYTES = 64 << 20
+#: Parts of one in which expected counts are added up, so that their sum does not
+#: depend on the order of tasks.
+FIXED = 1 << 16
 
 
 @functools.lru_cache(maxsize=1)
@@ -60,7 +64,7 @@ def pieces(path: str) -> dict[str, int]:
     for i in range(model.get_piece_size()):
         p = model.id_to_piece(i)
         letters = p.removeprefix(MARK)
-        if (letters.isalpha() and p == p.lower() and len(p) <= LONGEST) or p == MARK:
+        if (letters.isalpha() and p == p.lower()) or p == MARK:
             found.add(p)
     return {p: k + 1 for k, p in enumerate(sorted(found))}
 
@@ -76,62 +80,91 @@ def matcher(path: str) -> ahocorasick.Automaton:
 
 
 def letter_runs(token: str) -> list[str]:
-    """Runs of letters in a lower-cased token."""
+    """Runs of letters, with the marks that combine with them, in a lower-cased
+    token."""
     if token.isalpha():
         return [token]
-    return "".join(c if c.isalpha() else " " for c in token).split()
+    if token.isascii():
+        return "".join(c if c.isalpha() else " " for c in token).split()
+    runs = "".join(c if c.isalpha() or unicodedata.category(c)[0] == "M" else " " for c in token).split()
+    return [w for w in runs if any(map(str.isalpha, w))]
 
 
-def lattice(words: list[str], path: str) -> np.ndarray:
-    """Piece numbers ``[word, start, length - 1]``; -1 where there is none."""
+def lattice(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All pieces in words: word, start, stop and piece number."""
     n = np.fromiter(map(len, words), np.int64, len(words))
-    width = int(n.max())
     first = np.cumsum(n + 1) - (n + 1)
     row_of = np.repeat(np.arange(len(words)), n + 1)
     flat = itertools.chain.from_iterable(matcher(path).iter("\n".join(words)))
     found = np.fromiter(flat, np.int64).reshape(-1, 2)
     length, number = found[:, 1] >> 20, found[:, 1] & 0xFFFFF
     at = found[:, 0] + 1 - length
+    known = np.zeros(len(row_of), bool)
+    known[at[length == 1]] = True
+    known[first + n] = True
+    other = np.flatnonzero(~known)  # letters that are no piece
+    at = np.concatenate([at, other])
+    length = np.concatenate([length, np.ones(len(other), np.int64)])
+    number = np.concatenate([number, np.zeros(len(other), np.int64)])
     row = row_of[at]
-    grid = np.full((len(words), width, LONGEST), -1, np.int32)
-    grid[:, :, 0] = np.where(np.arange(width) < n[:, None], 0, -1)
-    grid[row, at - first[row], length - 1] = number
-    return grid
+    return row, at - first[row], at - first[row] + length, number
 
 
-def expected_counts(words: list[str], times: np.ndarray, path: str) -> np.ndarray:
-    """Expected piece counts of words (no longer than WIDE) that occur so often."""
+def batches(words: list[str]) -> Iterator[list[int]]:
+    """Places of words, by length, in batches of bounded size."""
+    order = sorted(range(len(words)), key=lambda k: len(words[k]))
+    at = 0
+    while at < len(order):
+        end = min(len(order), at + BATCH)
+        # the last word of a batch is its widest
+        while end - at > 1 and (end - at) * len(words[order[end - 1]]) > BATCH * WIDE:
+            end = (at + end) // 2
+        yield order[at:end]
+        at = end
+
+
+def forward(
+    n: int, row: np.ndarray, start: np.ndarray, stop: np.ndarray, number: np.ndarray, weights: np.ndarray, logs: bool
+) -> np.ndarray:
+    """``[place, word, language]``: sums over the segmentations of what stands
+    before a place of the products of their pieces' weights; with ``logs`` their
+    logarithms, as products of many weights are too small."""
+    width = int(stop.max())
+    order = np.argsort(stop * n + row, kind="stable")
+    row, start, number = row[order], start[order], number[order]
+    cut = np.searchsorted(stop[order], np.arange(1, width + 2))
+    alpha = np.full((width + 1, n, weights.shape[1]), 0.0 if logs else 1.0)
+    for j in range(1, width + 1):
+        here = slice(cut[j - 1], cut[j])
+        r = row[here]
+        part = alpha[start[here], r]
+        if logs:
+            part = np.exp(part - alpha[j - 1, r])
+        part *= weights[number[here]]
+        heads = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+        sums = np.add.reduceat(part, heads, axis=0)
+        alpha[j, r[heads]] = np.log(sums) + alpha[j - 1, r[heads]] if logs else sums
+    return alpha
+
+
+def expected_counts(words: list[str], times: np.ndarray, path: str, wide: int = WIDE) -> np.ndarray:
+    """Expected piece counts of words that occur so often."""
     size = len(pieces(path)) + 1
     total = np.zeros(size)
-    for at in range(0, len(words), BATCH):
-        part, n = words[at : at + BATCH], times[at : at + BATCH]
-        grid = lattice(part, path)
-        here = grid >= 0
-        p = 1.0 / size
-        ends = np.array([len(w) for w in part])
-        width = grid.shape[1]
-        alpha = np.zeros((len(part), width + 1))
-        alpha[:, 0] = 1
-        for j in range(1, width + 1):
-            for m in range(1, min(LONGEST, j) + 1):
-                alpha[:, j] += alpha[:, j - m] * here[:, j - m, m - 1] * p
-        z = alpha[np.arange(len(part)), ends]
-        beta = np.zeros((len(part), width + 1))
-        beta[np.arange(len(part)), ends] = 1
-        for i in range(width - 1, -1, -1):
-            for m in range(1, min(LONGEST, width - i) + 1):
-                beta[:, i] += beta[:, i + m] * here[:, i, m - 1] * p
-        r, i, m = np.nonzero(here)
-        share = alpha[r, i] * beta[r, i + m + 1] * p / z[r] * n[r]
-        total += np.bincount(grid[r, i, m], weights=share, minlength=size)
+    equal = np.full((size, 1), 1.0 / size)
+    for places in batches(words):
+        part = [words[k] for k in places]
+        row, start, stop, number = lattice(part, path)
+        n = np.array([len(w) for w in part])
+        logs = bool(n.max() > wide)
+        alpha = forward(len(part), row, start, stop, number, equal, logs)[:, :, 0]
+        beta = forward(len(part), row, n[row] - stop, n[row] - start, number, equal, logs)[:, :, 0]
+        before, after, z = alpha[start, row], beta[n[row] - stop, row], alpha[n[row], row]
+        share = np.exp(before + after - z) / size if logs else before * after / z / size
+        total += np.bincount(number, weights=share * times[places][row], minlength=size)
     return total
 
 
-def in_parts(word: str) -> list[str]:
-    """A marked word for training, in stretches no wider than the batch."""
-    return [word[i : i + WIDE] for i in range(0, len(word), WIDE)]
-
-
 def learn(
     df: DataFrame,
     vocab_path: str,
@@ -149,8 +182,7 @@ def learn(
                 words: Counter = Counter()
                 for token, n in seen.items():
                     for w in letter_runs(token):
-                        for part in in_parts(MARK + w):
-                            words[part] += n
+                        words[MARK + w] += n
                 if words:
                     ordered = sorted(words, key=len)
                     times = np.array([words[w] for w in ordered], float)
@@ -167,12 +199,12 @@ def learn(
         for lang, found in sums.items():
             k = np.flatnonzero(found)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(k), pa.string()), pa.array(k.astype(np.int32)), pa.array(found[k])],
+                [pa.array([lang] * len(k), pa.string()), pa.array(k.astype(np.int32)), pa.array(np.rint(found[k] * FIXED).astype(np.int64))],
                 ["lang", "piece", "n"],
             )
 
     rows = df.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).dropna()
-    counts = map_arrow(rows, run, "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
+    counts = map_arrow(rows, run, "lang string, piece int, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
     # at most languages times pieces, whatever the corpus
     table = counts.toArrow()
     names = table.column("lang").to_pylist()
@@ -180,70 +212,42 @@ def learn(
     size = len(pieces(vocab_path)) + 1
     model = np.zeros((size, len(langs)))
     index = {name: k for k, name in enumerate(langs)}
-    model[table.column("piece").to_numpy(), [index[x] for x in names]] = table.column("n").to_numpy()
+    model[table.column("piece").to_numpy(), [index[x] for x in names]] = table.column("n").to_numpy() / FIXED
     model /= np.maximum(model.sum(axis=0, keepdims=True), 1e-300)
     return langs, (1 - SMOOTH) * model + SMOOTH / size
 
 
-def word_scores(words: list[str], path: str, model: np.ndarray) -> np.ndarray:
-    """Log probability of each marked word (no wider than WIDE), by language."""
+def word_scores(words: list[str], path: str, model: np.ndarray, wide: int = WIDE) -> np.ndarray:
+    """Log probability of each marked word, by language."""
     out = np.empty((len(words), model.shape[1]))
-    order = sorted(range(len(words)), key=lambda k: len(words[k]))
-    for at in range(0, len(words), BATCH):
-        rows = order[at : at + BATCH]
-        part = [words[k] for k in rows]
-        grid = lattice(part, path)
-        width = grid.shape[1]
-        # the last row stands for "no such piece"
-        known = np.vstack([model, np.zeros((1, model.shape[1]))])
-        alpha = [np.ones((len(part), model.shape[1]))]
-        for j in range(1, width + 1):
-            now = np.zeros_like(alpha[0])
-            for m in range(1, min(LONGEST, j) + 1):
-                ids = grid[:, j - m, m - 1]
-                if (ids >= 0).any():
-                    now += alpha[j - m] * known[ids]
-            alpha.append(now)
-        ends = np.array([len(w) for w in part])
-        out[rows] = np.log(np.stack(alpha)[ends, np.arange(len(part))])
+    for places in batches(words):
+        part = [words[k] for k in places]
+        n = np.array([len(w) for w in part])
+        logs = bool(n.max() > wide)
+        alpha = forward(len(part), *lattice(part, path), model, logs)
+        ends = alpha[n, np.arange(len(part))]
+        out[places] = ends if logs else np.log(ends)
     return out
 
 
-def long_score(word: str, path: str, model: np.ndarray) -> np.ndarray:
-    """The same for a word of any length, rescaled on the way."""
-    vocab = pieces(path)
-    alpha = [np.ones(model.shape[1])]
-    scale = np.zeros(model.shape[1])
-    for j in range(1, len(word) + 1):
-        now = np.zeros(model.shape[1])
-        for m in range(1, min(LONGEST, j) + 1):
-            k = vocab.get(word[j - m : j], 0 if m == 1 else -1)
-            if k >= 0:
-                now += alpha[-m] * model[k]
-        alpha = [*alpha[-(LONGEST - 1) :], now]
-        if now.min() < 1e-100:
-            scale += np.log(now)
-            alpha = [a / now for a in alpha]
-    return np.log(alpha[-1]) + scale
-
-
 class Scorer:
     """Log probabilities of texts, one distinct token at a time."""
 
     def __init__(self, path: str, model: np.ndarray) -> None:
         self.path, self.model = path, model
         self.row: dict[str, int] = {}
-        self.kept = np.zeros((KEEP_WORDS, model.shape[1] + 1), np.float64)
+        self.most = max(1, min(KEEP_WORDS, KEEP_BYTES // (8 * (model.shape[1] + 1))))
+        self.kept = np.zeros((self.most, model.shape[1] + 1), np.float64)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         """``[text, language]`` log probabilities; the last column counts words."""
         split = [(t or "").lower().split() for t in texts]
         new = list(dict.fromkeys(w for words in split for w in words if w not in self.row))
-        if len(self.row) + len(new) > KEEP_WORDS:
+        if len(self.row) + len(new) > self.most:
             self.row.clear()
             new = list(dict.fromkeys(w for words in split for w in words))
         table = self.kept
-        if len(new) > KEEP_WORDS:  # one batch with more words than the table holds
+        if len(new) > self.most:  # one batch with more words than the table holds
             table = np.zeros((len(new), self.kept.shape[1]))
         first = len(self.row)
         row = self.row if table is self.kept else {}
@@ -258,14 +262,10 @@ class Scorer:
     def token_scores(self, tokens: list[str]) -> np.ndarray:
         out = np.zeros((len(tokens), self.model.shape[1] + 1))
         runs = [(k, MARK + w) for k, t in enumerate(tokens) for w in letter_runs(t)]
-        short = [(k, w) for k, w in runs if len(w) <= WIDE]
-        if short:
-            scores = word_scores([w for _, w in short], self.path, self.model)
-            np.add.at(out[:, :-1], [k for k, _ in short], scores)
-        for k, w in runs:
-            out[k, -1] += 1
-            if len(w) > WIDE:
-                out[k, :-1] += long_score(w, self.path, self.model)
+        if runs:
+            places = [k for k, _ in runs]
+            np.add.at(out[:, :-1], places, word_scores([w for _, w in runs], self.path, self.model))
+            np.add.at(out[:, -1], places, 1)
         return out
 
 

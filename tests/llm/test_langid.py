@@ -16,7 +16,7 @@ def segmentations(word, vocab):
     """All ways to cut a word into pieces, by enumeration."""
     if not word:
         yield []
-    for m in range(1, min(langid.LONGEST, len(word)) + 1):
+    for m in range(1, len(word) + 1):
         k = vocab.get(word[:m], 0 if m == 1 else None)
         if k is not None:
             for rest in segmentations(word[m:], vocab):
@@ -33,10 +33,10 @@ def test_forward_sums_all_segmentations():
     model /= model.sum(axis=0)
     sample = words(rng, 40, 9)
     found = langid.word_scores(sample, PATH, model)
+    assert np.allclose(langid.word_scores(sample, PATH, model, wide=0), found)
     for w, row in zip(sample, found):
         slow = sum(np.prod(model[s], axis=0) for s in segmentations(w, vocab))
         assert np.allclose(row, np.log(slow))
-        assert np.allclose(langid.long_score(w, PATH, model), row)
 
 
 def test_expected_counts_match_enumeration():
@@ -51,6 +51,39 @@ def test_expected_counts_match_enumeration():
             for k in s:
                 slow[k] += n * p / z
     assert np.allclose(langid.expected_counts(sample, times, PATH), slow)
+    assert np.allclose(langid.expected_counts(sample, times, PATH, wide=0), slow)
+
+
+def test_long_pieces_and_words():
+    """Pieces of any length, and words wider than one batch is."""
+    vocab = langid.pieces(PATH)
+    long = max(vocab, key=len)
+    assert len(long) > 12
+    rng = random.Random(5)
+    for word in [langid.MARK + long.removeprefix(langid.MARK) + "xé", langid.MARK + "".join(rng.choice("theringoé") for _ in range(300))]:
+        size = len(vocab) + 1
+        sums = [{0: 1}]  # of the segmentations of each prefix, by number of pieces
+        for j in range(1, len(word) + 1):
+            now = {}
+            for m in range(1, j + 1):
+                if (vocab.get(word[j - m : j], 0 if m == 1 else None)) is not None:
+                    for pieces, ways in sums[j - m].items():
+                        now[pieces + 1] = now.get(pieces + 1, 0) + ways
+            sums.append(now)
+        exact = sum(ways * size ** (len(word) - k) for k, ways in sums[-1].items())  # times size ** len(word)
+        model = np.full((size, 2), 1 / size)
+        found = langid.word_scores([word, "ab"], PATH, model)[0]
+        assert np.allclose(found, math.log(exact) - len(word) * math.log(size))
+    counts = langid.expected_counts([word], np.array([2.0]), PATH)
+    lengths = np.zeros(size)
+    lengths[[k for k in vocab.values()]] = [len(p) for p in vocab]
+    lengths[0] = 1
+    assert np.isclose((counts * lengths).sum(), 2 * len(word))
+
+
+def test_marks_stay_with_their_letters():
+    assert langid.letter_runs("नमस्ते,x̂y1") == ["नमस्ते", "x̂y"]
+    assert langid.letter_runs("1\u0301") == []
 
 
 def test_held_out_accuracy(spark):
