@@ -9,8 +9,10 @@ match the same strings in time linear in the text and without recursion.  Spark
 returns matched strings, not positions; these come from the lengths of the gaps
 between matches (``split`` by the same expression).
 
-Bootstrapping: tokens that hold a digit are *instances*; what stands before one
-(its last two words) together with the token's shape is a lexical *pattern*.
+Bootstrapping: tokens that hold a digit are *instances*; the last two words
+before one (of those without a digit, however far back; tokens with no word
+before them are left out) are a lexical *pattern*, and together with the token's
+shape another.
 Instances that fixed kinds cover are seeds with confidence 1.  A round scores
 each pattern by the share of confidence among its different instances, smoothed,
 and each other instance by the noisy-or of its patterns.  After ``ROUNDS``
@@ -18,14 +20,19 @@ rounds, tokens of confident patterns and instances that no fixed kind covers are
 added with kind ``context``.  Patterns need ``SUPPORT`` different instances, and
 a pattern without any seed or confident instance scores zero.
 
-Null texts count as empty and have no spans.  Texts are never cut.  Rows are
-told apart by a row number, so that null and repeated ids do no harm.  An empty
+Null texts count as empty and have no spans.  Texts are never cut; time is in
+proportion to a text's length but for a share with the square of its matches
+over ``BLOCK``.  Repeated rows each have their spans; an instance counts once
+for each pattern, however often it occurs, and the sums that scores are have no
+order, so there are no ties.  Rows are told apart by a row number, so that null and repeated ids do no harm.  An empty
 table gives an empty result.  Columns other than the id and the text are
 neither read nor returned.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,33 +51,90 @@ ROUNDS = 3
 SUPPORT = 3
 #: Confidence that a pattern and an instance need.
 SURE = 0.7
-#: Characters before a token that its pattern looks at.
-BEFORE = 48
+#: Matches whose places are summed at once.
+BLOCK = 256
+#: The last word of a text, and the one before, read from its end: letters, and
+#: what follows them up to a letter or white space.
+LAST = r"^(?:[^\p{L}\s]*+\s++)*+([^\p{L}\s]*+\p{L}++)(?:(?:[^\p{L}\s]*+\s++)*+([^\p{L}\s]*+\p{L}++))?"
+#: Places that one cell of the join of tokens with fixed kinds covers.
+CELL = 64
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def last_words(gap: Column) -> Column:
+    """The last two words, at most, of a stretch of text, in lower case."""
+    back = F.reverse(gap)
+    words = [F.lower(F.reverse(F.regexp_extract(back, LAST, k))) for k in (2, 1)]
+    return F.filter(F.array(*words), lambda w: w != "")
+
 
+def found(text: Column, pattern: str, context: bool = False) -> Column:
+    """Matches as an array of ``(start, stop, hit, before)``; before holds the
+    last two words between the matches before it, if there is a use for them.
 
-def found(text: Column, pattern: str) -> Column:
-    """Matches as an array of ``(start, stop, hit, before)``."""
+    Starts are sums of the lengths before them.  A sum that appends to an array
+    copies it each time, so matches are summed in blocks of ``BLOCK``.
+    """
+    kind = "struct<start:int,stop:int,hit:string,before:array<string>>"
+    none = F.array().cast("array<string>")
     gaps = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    empty = F.lit(None).cast("struct<at:int,out:array<struct<start:int,stop:int,hit:string,before:string>>>")
-    start = F.coalesce(
-        empty,
-        F.struct(
-            F.lit(0).alias("at"),
-            F.array().cast("array<struct<start:int,stop:int,hit:string,before:string>>").alias("out"),
-        ),
+    both = F.filter(
+        F.zip_with(gaps, hits, lambda g, h: F.struct((last_words(g) if context else none).alias("words"), F.length(g).alias("gap"), h.alias("hit"))),
+        lambda x: x["hit"].isNotNull(),
     )
 
-    def step(held: Column, x: Column) -> Column:
-        at = held["at"] + F.length(x["gap"])
-        stop = at + F.length(x["hit"])
-        one = F.struct(at.alias("start"), stop.alias("stop"), x["hit"].alias("hit"), F.right(x["gap"], F.lit(BEFORE)).alias("before"))
-        return F.when(x["hit"].isNull(), held).otherwise(
-            F.struct(stop.alias("at"), F.concat(held["out"], F.array(one)).alias("out"))
+    def latest(earlier: Column, later: Column) -> Column:
+        return F.when(F.size(later) >= 2, later).otherwise(F.reverse(F.slice(F.reverse(F.concat(earlier, later)), 1, 2))) if context else none
+
+    def summed(block: Column) -> Column:
+        """(length, last words, matches) of one block."""
+        start = F.struct(F.lit(0).alias("at"), none.alias("last"), F.array().cast(f"array<{kind}>").alias("out"))
+
+        def step(held: Column, x: Column) -> Column:
+            at = held["at"] + x["gap"]
+            stop = at + F.length(x["hit"])
+            last = latest(held["last"], x["words"])
+            one = F.struct(at.alias("start"), stop.alias("stop"), x["hit"].alias("hit"), last.alias("before"))
+            return F.struct(stop.alias("at"), last.alias("last"), F.concat(held["out"], F.array(one)).alias("out"))
+
+        return F.aggregate(block, start, step)
+
+    def before(blocks: Column) -> Column:
+        """(length, last words) of all that stands before each block."""
+        zero = F.struct(F.lit(0).alias("at"), none.alias("last"))
+        start = F.struct(*[zero[c].alias(c) for c in ("at", "last")], F.array().cast("array<struct<at:int,last:array<string>>>").alias("out"))
+
+        def step(held: Column, x: Column) -> Column:
+            here = F.struct(held["at"].alias("at"), held["last"].alias("last"))
+            return F.struct(
+                (held["at"] + x["at"]).alias("at"),
+                latest(held["last"], x["last"]).alias("last"),
+                F.concat(held["out"], F.array(here)).alias("out"),
+            )
+
+        return F.aggregate(blocks, start, step, lambda held: held["out"])
+
+    def moved(block: Column, base: Column) -> Column:
+        return F.transform(
+            block["out"],
+            lambda m: F.struct(
+                (m["start"] + base["at"]).alias("start"),
+                (m["stop"] + base["at"]).alias("stop"),
+                m["hit"].alias("hit"),
+                latest(base["last"], m["before"]).alias("before"),
+            ),
         )
 
-    return F.aggregate(both, start, step, lambda held: held["out"])
+    def blocks(every: Column) -> Column:
+        last = F.floor((F.greatest(F.size(every), F.lit(1)) - 1) / BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda k: summed(F.slice(every, k * BLOCK + 1, F.lit(BLOCK))))
+
+    return bound(both, lambda every: bound(blocks(every), lambda bs: F.flatten(F.zip_with(bs, before(bs), moved))))
 
 
 def digits_of(hit: Column) -> Column:
@@ -122,7 +186,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
         F.monotonically_increasing_id().alias("row"),
         "doc_id",
         *[F.coalesce(matches(k, F.col("text")), F.array().cast(spans)).alias(k) for k in KINDS],
-        F.when(F.col("text").rlike("[0-9]"), found(F.col("text"), TOKEN)).alias("tokens"),
+        F.when(F.col("text").rlike("[0-9]"), found(F.col("text"), TOKEN, context=True)).alias("tokens"),
     )
     return checkpointed(out)
 
@@ -130,25 +194,29 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 def instances(scanned: DataFrame) -> DataFrame:
     """Digit tokens with their patterns: ``(row, start, stop, pattern,
     instance, seed)``."""
-    every = F.concat(*[F.col(k) for k in KINDS])
-    tokens = scanned.select("row", every.alias("base"), F.explode("tokens").alias("t"))
+    tokens = scanned.select("row", F.explode("tokens").alias("t"))
     # punctuation at the ends does not belong to an identifier
     core = F.regexp_extract(F.col("t.hit"), r"[\p{L}0-9+].*[\p{L}0-9]|[0-9]", 0)
     lead = F.length(F.regexp_extract(F.col("t.hit"), r"^[^\p{L}0-9+]*", 0))
     start = F.col("t.start") + lead
-    stop = start + F.length(core)
-    words = F.regexp_extract_all(F.lower("t.before"), F.lit(r"[\p{L}]+[^\p{L}\s]*"), F.lit(0))
-    last = F.array_join(F.slice(F.reverse(words), 1, 2), " ")
-    shape = F.substring(F.regexp_replace(F.regexp_replace(core, r"\p{L}+", "a"), "[0-9]+", "9"), 1, 24)
-    return tokens.select(
-        "row",
-        start.alias("start"),
-        stop.alias("stop"),
-        F.concat_ws("|", last, shape).alias("pattern"),
-        core.alias("instance"),
-        F.exists("base", lambda b: (b["start"] < stop) & (b["stop"] > start)).alias("seed"),
-        (last != "").alias("context"),
-    ).where("context and instance <> ''").drop("context")
+    last = F.array_join(F.reverse("t.before"), " ")
+    shape = F.regexp_replace(F.regexp_replace(core, r"\p{L}+", "a"), "[0-9]+", "9")
+    named = checkpointed(
+        tokens.select("row", start.alias("start"), (start + F.length(core)).alias("stop"), last.alias("last"), shape.alias("shape"), core.alias("instance"))
+        .where("last <> '' and instance <> ''")
+    )
+
+    def cells(df: DataFrame) -> DataFrame:
+        return df.withColumn("cell", F.explode(F.expr(f"sequence(start div {CELL}, (stop - 1) div {CELL})")))
+
+    base = scanned.select("row", F.explode(F.concat(*KINDS)).alias("b")).select("row", F.col("b.start").alias("start"), F.col("b.stop").alias("stop"))
+    met = cells(named.select("row", "start", "stop")).alias("t").join(cells(base).alias("b"), ["row", "cell"])
+    covered = met.where("b.start < t.stop and b.stop > t.start").select("row", "t.start").distinct().withColumn("seed", F.lit(True))
+    patterns = F.array(F.concat_ws("|", "last", "shape"), F.col("last"))
+    return checkpointed(
+        named.join(covered, ["row", "start"], "left")
+        .select("row", "start", "stop", F.explode(patterns).alias("pattern"), "instance", F.coalesce("seed", F.lit(False)).alias("seed"))
+    )
 
 
 def confident(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import regex
 from pyspark.sql import functions as F
 
 from tests.llm.edge import SCHEMA, edge_documents, empty_documents
@@ -95,3 +96,41 @@ def test_edge_cases(spark):
     plan = pii.find(edge_documents(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert pii.found(F.lit("a"), "b") is not None
+
+
+def slow_tokens(text):
+    out = []
+    for m in re.finditer(r"[^\x20\t-\r]*[0-9][^\x20\t-\r]*", text):
+        gaps = re.sub(r"[^\x20\t-\r]*[0-9][^\x20\t-\r]*", "\0", text[: m.start()]).split("\0")
+        words = [w for g in gaps for w in regex.findall(r"\p{L}+[^\p{L}\s]*", g.lower())]
+        out.append((m.start(), m.end(), words[-2:]))
+    return out
+
+
+def test_tokens_and_the_words_before_them(spark):
+    rng = random.Random(2)
+    parts = ["Id", ":", " ", " ", "A12", "b-c", "7", "é", ",", "-", "(x", "\n", "9.", "no. "]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(300)]
+    texts += ["IDs: A1234, B5678, C9012", "word " + "x1 " * 1500 + "last words x2"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", pii.found(F.col("text"), pii.TOKEN, context=True).alias("t"))
+    for r in rows.collect():
+        assert [(t.start, t.stop, t.before) for t in r.t] == slow_tokens(texts[r.i]), texts[r.i][:60]
+
+
+def test_very_many_tokens_in_one_text(spark):
+    text = "member id " + "a1 b2@c.de " * 40000
+    r, = pii.digests(frame(spark, [text])).collect()
+    want = slow(text)
+    assert r.n_email == 40000 and r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_recall_of_identifiers_in_a_telling_context(spark):
+    """Identifiers unlike any fixed kind, in contexts that fixed kinds teach."""
+    rng = random.Random(6)
+    number = lambda most: f"+1-555-{rng.randrange(10**6, 10**7)}" if most else f"555-{rng.randrange(10**6, 10**7)}x{rng.randrange(9)}"
+    texts = [f"{rng.choice(['Alan', 'Maria'])} can be reached, phone number {number(k % 10)} today" for k in range(2000)]
+    texts += [f"It was in the year {rng.randrange(1800, 2030)} that chapter {rng.randrange(90)} came out" for _ in range(2000)]
+    rows = pii.digests(frame(spark, texts)).collect()
+    planted = [r for r in rows if r.doc_id < 2000 and r.doc_id % 10 == 0]
+    assert all(r.spans == "" for r in rows if r.doc_id >= 2000)
+    assert len(planted) == 200 and all(r.spans.startswith("context:") and r.spans.count(":") == 2 for r in planted)
