@@ -120,7 +120,7 @@ def shape(token: str) -> tuple[int, ...]:
         kind = 6 if digits else 7
     length = bisect.bisect_right((1, 3, 7, 11, 15, 23, 39), n)
     share = bisect.bisect_right((0, n * 0.2, n * 0.5, n * 0.9), digits - 0.5) if digits else 0
-    variety = bisect.bisect_right((4, 8, 14), len(set(core[:64])))
+    variety = bisect.bisect_right((4, 8, 14), len(set(core)))
     hint = 1 if _HINTS.search(token.lower()) else 0
     return (kind, length, share, variety, hint, int(token.endswith("=")))
 
@@ -421,33 +421,37 @@ def windows_of(text: str, pick: int) -> list[Window]:
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs: int = TRAIN_DOCS) -> Crf | None:
-    """Fit on windows of the ``docs`` documents with the smallest id hashes."""
-    chosen = (
-        df.where(F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col).alias("h"))
-        .orderBy("h", "doc_id")
-        .limit(docs)
-        .select("doc_id", "h")
-        .distinct()
+    """Fit on windows of ``docs`` documents: those whose id hashes, then text
+    hashes, are smallest.  Rows that are equal in both count as one, so no more
+    than ``docs`` times ``WINDOWS`` windows reach the driver."""
+    rows = df.where(F.col(id_col).isNotNull()).select(
+        F.xxhash64(id_col).alias("h"), F.xxhash64(text_col).alias("copy"), F.col(text_col).alias("text")
     )
     # at most ``docs`` rows of two longs
-    texts = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
+    chosen = rows.select("h", "copy").distinct().orderBy("h", "copy").limit(docs)
+    texts = rows.join(F.broadcast(chosen), ["h", "copy"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, flat, tags, classes = [], [], [], []
-            for h, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for window, labels, doc in windows_of(text.as_py() or "", h & 0x7FFFFFFF):
+            hashes, copies, at, flat, tags, classes = [], [], [], [], [], []
+            for h, copy, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                for k, (window, labels, doc) in enumerate(windows_of(text.as_py() or "", h & 0x7FFFFFFF)):
                     hashes.append(h)
+                    copies.append(copy)
+                    at.append(k)
                     flat.append(bytes(v for s in window for v in s))
                     tags.append(bytes(labels))
                     classes.append(doc)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes, pa.int64()), pa.array(flat, pa.binary()), pa.array(tags, pa.binary()), pa.array(classes, pa.int32())],
-                ["h", "shapes", "labels", "doc"],
+                [
+                    pa.array(hashes, pa.int64()), pa.array(copies, pa.int64()), pa.array(at, pa.int32()),
+                    pa.array(flat, pa.binary()), pa.array(tags, pa.binary()), pa.array(classes, pa.int32()),
+                ],
+                ["h", "copy", "at", "shapes", "labels", "doc"],
             )
 
-    found = map_arrow(texts.select("h", "text"), run, "h long, shapes binary, labels binary, doc int").toArrow().to_pylist()
+    windows = map_arrow(texts.select("h", "copy", "text"), run, "h long, copy long, at int, shapes binary, labels binary, doc int")
+    found = windows.dropDuplicates(["h", "copy", "at"]).toArrow().to_pylist()
     found.sort(key=lambda r: (r["h"], r["labels"], r["shapes"]))
     width = len(GROUPS)
     return Crf.fit(
