@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserql.llm import bpe, langid, media, packing, pii, secrets, sharding, simhash, tokenfile, topk
@@ -47,10 +47,15 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 BIN_BYTES = 8192
 
 
+def copies_of(text_col: str) -> Column:
+    """A number that equal texts share; null texts, which are empty, have none."""
+    return F.when(F.col(text_col).isNotNull(), F.xxhash64(text_col))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack(
-        docs, BIN_BYTES, F.octet_length("text"), source=F.col("source"), cluster=F.xxhash64("text")
+        docs, BIN_BYTES, F.octet_length("text"), source=F.col("source"), cluster=copies_of("text")
     )
 
 
