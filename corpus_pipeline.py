@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tesserql.llm import langid, neardup, packing, secrets
 from tesserql.llm.common import fresh_dir
-from tesserql.llm.queries import BIN_BYTES, vocabulary_file
+from tesserql.llm.queries import BIN_BYTES, copies_of, vocabulary_file
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bins of all documents: ``(doc_id, piece, start, length, bin_id)``."""
     return packing.pack(
-        docs, BIN_BYTES, F.octet_length("text"), source=F.col("source"), cluster=F.xxhash64("text")
+        docs, BIN_BYTES, F.octet_length("text"), source=F.col("source"), cluster=copies_of("text")
     )
 
 
