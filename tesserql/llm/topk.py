@@ -2,11 +2,15 @@
 
 Vectors are cut into blocks of bounded size.  A block of candidates holds, for
 each dimension, its rows sorted by that component.  A query walks down all
-lists at once, from the end that its own component favours; rows met are
-scored in full, and the walk stops when the sum of the best that each list can
-still give is below the k-th best score found, with a tie still open.  Depths
-double from step to step, and steps of all queries of a block go together, as
-array operations.
+lists of components that are not zero at once, from the end that its own
+component favours; rows met for the first time are scored in full, and the walk
+stops when the sum of the best that each list can still give is below the k-th
+best score found, with a tie still open.  Each query walks by itself, down the
+lists that lower that sum most, ``STEP`` times as deep with each step on a list.
+
+How much a walk saves depends on the vectors: where few components make up most
+of a score it ends early; of many components alike, as in random vectors of 64
+dimensions, nearly all rows are met before the bound falls below the k-th score.
 
 Query blocks are sent to every candidate block (a stated set of queries against
 all rows); a pair of blocks gives k rows for each query, which are reduced by
@@ -16,7 +20,7 @@ times blocks times k.
 Vectors that are null, or hold a null or a component that is not finite, take
 no part; so do rows with a null id.  Only vectors of the same length meet.
 Repeated rows are candidates of their own; a query leaves out all rows with its
-own id.  Ties go to the smaller id.  Empty vectors score zero.  An empty table
+own id.  Scores beyond 64 bits are an error.  Ties go to the smaller id.  Empty vectors score zero.  An empty table
 gives an empty result, and other columns are neither read nor returned.
 """
 
@@ -35,8 +39,9 @@ from tesserql.llm.common import checkpointed, map_arrow
 CANDIDATES = 32768
 LEAST = 1024
 QUERIES = 1024
-#: First depth of the walk, in rows of each list.
+#: First depth of the walk, in rows of each list, and the factor of the next.
 DEPTH = 16
+STEP = 4
 
 
 def usable(vector: Column) -> Column:
@@ -100,11 +105,12 @@ class Lists:
         self.ids, self.rows = ids[order], rows[order]
         self.rising = np.argsort(self.rows, axis=0, kind="stable")
         self.sorted = np.take_along_axis(self.rows, self.rising, axis=0)
+        self.largest = np.abs(self.rows).max(initial=0)
 
     def products(self, queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Exact integer inner products, by floats where these are exact."""
         dim = max(1, rows.shape[1])
-        largest = (np.abs(queries).max(initial=0)) * (np.abs(rows).max(initial=0)) * dim
+        largest = np.abs(queries).max(initial=0) * self.largest * dim
         if largest < 2.0**53:
             return (queries @ rows.T).astype(np.int64)
         if largest < 2.0**62:
@@ -112,41 +118,53 @@ class Lists:
         exact = [[sum(int(a) * int(b) for a, b in zip(q, r)) for r in rows] for q in queries]
         return np.array(exact, object).reshape(len(queries), len(rows))
 
+    def walk(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """The k best candidates' ids and scores, and how many were scored.
+
+        The lists that a step goes down are those that lower the bound most, for
+        as many rows; half as much as the first of them is enough.
+        """
+        n, lists = len(self.ids), np.flatnonzero(query)
+        weights, falls = query[lists], query[lists] < 0
+        depth = np.minimum(np.full(len(lists), DEPTH), n)
+        last = np.zeros(len(lists), np.int64)
+        met = self.ids == query_id  # never scored
+        found, scores, kth = np.empty(0, np.int64), np.empty(0, np.int64), None
+        while True:
+            new = np.zeros(n, bool)
+            for d in np.flatnonzero(depth > last):
+                a, b = last[d], depth[d]
+                new[self.rising[a:b, lists[d]] if falls[d] else self.rising[n - b : n - a, lists[d]]] = True
+            new &= ~met
+            met |= new
+            rows = np.flatnonzero(new)
+            if not len(lists) or met.all():  # all components are zero, or the last rows are met
+                rows = np.flatnonzero(new | ~met)
+                met[:] = True
+            found = np.concatenate([found, rows])
+            scores = np.concatenate([scores, self.products(query[None, :], self.rows[rows])[0]])
+            if met.all():
+                break
+            edges = weights * self.sorted[np.where(falls, depth - 1, n - depth), lists]
+            if len(scores) >= k:
+                kth = np.sort(scores)[-k] if scores.dtype == object else np.partition(scores, len(scores) - k)[len(scores) - k]
+                # sums of large numbers may be a hair's breadth off
+                if edges.sum() + np.abs(edges).sum() * 1e-12 < kth:
+                    break
+            last, deeper = depth, np.minimum(n, depth * STEP)
+            gain = (edges - weights * self.sorted[np.where(falls, deeper - 1, n - deeper), lists]) / np.maximum(deeper - depth, 1)
+            gain[depth == n] = -1
+            depth = np.where((gain >= gain.max() / 2) & (depth < n), deeper, depth)
+        if len(found) > k:
+            kth = np.sort(scores)[-k] if scores.dtype == object else np.partition(scores, len(scores) - k)[len(scores) - k]
+        best = sorted(np.flatnonzero(scores >= kth) if len(found) > k else range(len(found)), key=lambda c: (-int(scores[c]), self.ids[found[c]]))[:k]
+        return self.ids[found[best]], scores[best], len(found)
+
     def top(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each query: its row, and the best candidates' ids and scores."""
-        n = len(self.ids)
-        depth = min(DEPTH, n)
-        open_ = np.arange(len(queries))
-        while len(open_):
-            q = queries[open_]
-            # rows met by the walk of any open query, from the end it favours
-            met = np.zeros(n, bool)
-            met[self.rising[n - depth :, (q > 0).any(axis=0)]] = True
-            met[self.rising[:depth, (q < 0).any(axis=0)]] = True
-            rows = np.flatnonzero(met)
-            if len(rows) > n // 2 or not self.rows.shape[1]:
-                rows, depth = np.arange(n), n
-            scores = self.products(q, self.rows[rows])
-            # the best that a row can have which no list has shown yet
-            edge = np.where(q > 0, self.sorted[n - depth], self.sorted[depth - 1])
-            bound = (q * edge).sum(axis=1)
-            again = []
-            for j, i in enumerate(open_):
-                at = np.flatnonzero(self.ids[rows] != query_ids[i])
-                own = scores[j, at]
-                if len(own) > k:
-                    kth = np.sort(own)[-k] if own.dtype == object else np.partition(own, len(own) - k)[len(own) - k]
-                    keep = np.flatnonzero(own >= kth)
-                else:
-                    kth, keep = None, np.arange(len(own))
-                if depth < n and (kth is None or bound[j] >= kth):
-                    again.append(i)
-                    continue
-                found, value = self.ids[rows[at[keep]]], own[keep]
-                best = sorted(range(len(keep)), key=lambda c: (-int(value[c]), found[c]))[:k]
-                yield int(i), found[best], value[best]
-            open_ = np.array(again, np.int64)
-            depth = min(n, depth * 4)
+        for i, (query_id, query) in enumerate(zip(query_ids, queries)):
+            ids, scores, _ = self.walk(query_id, query, k)
+            yield i, ids, scores
 
 
 def unpacked(block: dict, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -201,7 +219,9 @@ def top_k(
                 found: list[list[int]] = [[], [], [], [], []]
                 for row, ids, scores in last[1].top(query_ids, vectors, k):
                     for i, s in zip(ids, scores):
-                        s = min(max(int(s), -(1 << 63)), (1 << 63) - 1)
+                        if not -(1 << 63) <= s < 1 << 63:
+                            raise OverflowError(f"the score of {i} for {query_ids[row]} does not fit a long")
+                        s = int(s)
                         for column, value in zip(found, (q["block"], row, int(query_ids[row]), int(i), s)):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names)

@@ -34,20 +34,42 @@ def test_all_rows_against_brute_force(spark):
     assert run(spark, rows) == slow(rows)
 
 
+def scored_share(block, queries, k=5):
+    """Share of the block that walks score; results are held against brute force."""
+    lists, n = topk.Lists(np.arange(len(block)), block), 0
+    for query in queries:
+        ids, scores, met = lists.walk(-1, query, k)
+        s = block @ query
+        best = sorted(range(len(block)), key=lambda i: (-s[i], i))[:k]
+        assert ids.tolist() == best and scores.tolist() == s[best].tolist()
+        n += met
+    return n / len(block) / len(queries)
+
+
 def test_skewed_lists_stop_early():
     rng = np.random.default_rng(2)
     block = rng.integers(-3, 4, size=(3000, 4)).astype(float)
     block[:40] *= 100
-    lists = topk.Lists(np.arange(3000), block)
-    scored = []
-    real = lists.products
-    lists.products = lambda q, r: scored.append(len(r)) or real(q, r)
-    queries = rng.integers(-9, 10, size=(5, 4)).astype(float)
-    for row, ids, scores in lists.top(np.array([-1] * 5), queries, 5):
-        s = block @ queries[row]
-        best = sorted(range(3000), key=lambda i: (-s[i], i))[:5]
-        assert ids.tolist() == best and scores.tolist() == s[best].tolist()
-    assert max(scored) < 3000
+    assert scored_share(block, rng.integers(-9, 10, size=(5, 4)).astype(float)) < 0.5
+
+
+def test_64_dimensions_stop_at_the_bound():
+    """Few large components among 64: the walk ends at the bound.  Components
+    all alike: it meets nearly all rows first, and is right all the same."""
+    rng = np.random.default_rng(3)
+    alike = rng.integers(-256, 256, size=(4000, 64)).astype(float)
+    falling = np.floor(alike * 2.0 ** -np.arange(64))
+    share = scored_share(falling, falling[:20])
+    print("share scored", share, scored_share(alike, alike[:20]))
+    assert share < 0.25
+
+
+def test_zero_queries_and_rows_of_the_query():
+    lists = topk.Lists(np.array([3, 1, 2, 1]), np.array([[1.0, 0], [0, 0], [-1, 5], [0, 1]]))
+    ids, scores, _ = lists.walk(1, np.array([0.0, 0.0]), 5)
+    assert (ids.tolist(), scores.tolist()) == ([2, 3], [0, 0])
+    ids, scores, _ = lists.walk(9, np.array([-2.0, 1.0]), 2)
+    assert (ids.tolist(), scores.tolist()) == ([2, 1], [7, 1])
 
 
 def test_edge_cases(spark):
