@@ -321,6 +321,7 @@ class Decoder:
         self.codes: dict[tuple[int, int], Codes] = {}
         self.quantisation: dict[int, np.ndarray] = {}
         self.comment = b""
+        self.interval = 0  # units between restarts, if there are any
         self.frame: Frame | None = None
         self.coefficients: list[np.ndarray] = []
         self._read(data)
@@ -347,16 +348,24 @@ class Decoder:
             elif marker == 0xC2:
                 self._frame(body)
             elif marker == 0xDA:
-                end = at
-                while True:  # a marker that is neither a stuffed byte nor a restart
+                end, first, parts = at, at, []
+                while True:
                     end = data.index(b"\xff", end)
-                    if data[end + 1] == 0:
+                    if data[end + 1] == 0:  # a stuffed byte
                         end += 2
+                    elif self.interval and 0xD0 <= data[end + 1] <= 0xD7:  # a restart
+                        parts.append(data[first:end])
+                        first = end = end + 2
                     else:
                         break
-                self._scan(body, data[at:end].replace(b"\xff\x00", b"\xff"))
+                parts.append(data[first:end])
+                for k, part in enumerate(parts):
+                    units = slice(k * self.interval, (k + 1) * self.interval) if self.interval else slice(None)
+                    self._scan(body, part.replace(b"\xff\x00", b"\xff"), units)
                 at = end
-            elif 0xC0 <= marker <= 0xCF or marker == 0xDD:
+            elif marker == 0xDD:
+                (self.interval,) = struct.unpack(">H", body)
+            elif 0xC0 <= marker <= 0xCF:
                 raise ValueError(f"unsupported segment {marker:#x}")
 
     def _quantisation(self, body: bytes) -> None:
@@ -381,7 +390,8 @@ class Decoder:
             rows, cols = self.frame.shape(k)
             self.coefficients.append(np.zeros((rows * cols, 64), np.int16))
 
-    def _scan(self, body: bytes, data: bytes) -> None:
+    def _scan(self, body: bytes, data: bytes, units: slice) -> None:
+        """One scan's data between restarts, for that stretch of its units."""
         n = body[0]
         ids = [p[0] for p in self.frame.parts]
         which = [ids.index(body[1 + 2 * k]) for k in range(n)]
@@ -389,24 +399,25 @@ class Decoder:
         start, end, shift = body[1 + 2 * n : 4 + 2 * n]
         high, low = shift >> 4, shift & 15
         if start == 0:
-            self._dc(which, tables, high, low, data)
+            self._dc(which, tables, high, low, data, units)
             return
         k, codes = which[0], self.codes[1, tables[0] & 15]
         rows, cols = self.frame.own(k)
-        at = (np.arange(rows)[:, None] * self.frame.shape(k)[1] + np.arange(cols)).ravel()
+        at = (np.arange(rows)[:, None] * self.frame.shape(k)[1] + np.arange(cols)).ravel()[units]
         if high == 0:
             if not (self.arrays and self._ac_even(k, at, codes, start, end, low, data)):
                 self._ac_first(k, at, codes, start, end, low, data)
         elif not (self.arrays and self._ac_bits(k, at, codes, start, end, low, data)):
             self._ac_refine(k, at, codes, start, end, low, data)
 
-    def _dc(self, which: list[int], tables: list[int], high: int, low: int, data: bytes) -> None:
+    def _dc(self, which: list[int], tables: list[int], high: int, low: int, data: bytes, units: slice) -> None:
         if len(which) == 1:
             rows, cols = self.frame.own(which[0])
             at = (np.arange(rows)[:, None] * self.frame.shape(which[0])[1] + np.arange(cols)).ravel()
             blocks = [(which[0], at)]
         else:
             blocks = [(k, at) for k, at in self.frame.interleaved() if k in which]
+        blocks = [(k, at[units]) for k, at in blocks]
         n = len(blocks) * len(blocks[0][1])
         if high:
             bits = np.unpackbits(np.frombuffer(data, np.uint8), count=n).reshape(-1, len(blocks))

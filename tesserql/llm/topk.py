@@ -103,7 +103,8 @@ class Lists:
     def __init__(self, ids: np.ndarray, rows: np.ndarray) -> None:
         order = np.argsort(ids, kind="stable")  # ties: smaller ids come first
         self.ids, self.rows = ids[order], rows[order]
-        self.rising = np.argsort(self.rows, axis=0, kind="stable")
+        # each list in one piece of memory
+        self.rising = np.asfortranarray(np.argsort(self.rows, axis=0, kind="stable"))
         self.sorted = np.take_along_axis(self.rows, self.rising, axis=0)
         self.largest = np.abs(self.rows).max(initial=0)
 

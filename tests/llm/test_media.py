@@ -138,6 +138,43 @@ def test_general_scans():
         assert (jpeg.Decoder(data).coefficients[0] == values).all()
 
 
+def test_restart_intervals():
+    """Predictions and end-of-band runs begin anew at each restart marker."""
+    rng = random.Random(9)
+    frame = jpeg.Frame(40, 8, [(1, 1, 1, 0)])
+    dc = [rng.randrange(-200, 200) for _ in range(5)]
+    codes = jpeg.Codes.even([0, 0x10, 0x01, 0xF0])
+    starts, bands = [], []
+    for at in (0, 2, 4):
+        w, before = jpeg.BitWriter(), 0
+        for v in dc[at : at + 2]:
+            d, before = v - before, v
+            w.put(*jpeg.DC_SIZES.code_of[abs(d).bit_length()])
+            if d:
+                w.put(d if d > 0 else d + (1 << abs(d).bit_length()) - 1, abs(d).bit_length())
+        starts.append(jpeg.stuffed(w.bytes()))
+        w = jpeg.BitWriter()  # the first block of each stretch holds one coefficient
+        w.put(*codes.code_of[0x01])
+        w.put(1, 1)
+        w.put(*codes.code_of[0x00 if at == 4 else 0x10])
+        if at < 4:
+            w.put(0, 1)  # a run of two: the rest of this block, and the next
+        bands.append(jpeg.stuffed(w.bytes()))
+
+    def joined(parts):
+        return b"".join(p + (b"" if k == len(parts) - 1 else bytes([0xFF, 0xD0 + k])) for k, p in enumerate(parts))
+
+    data = (
+        jpeg.header(frame, b"") + b"\xff\xdd\x00\x04\x00\x02" + jpeg.DC_SIZES.segment(0, 0)
+        + jpeg.scan([1], 0, 0, 0, 0, b"") + joined(starts)
+        + codes.segment(1, 0) + jpeg.scan([1], 1, 63, 0, 0, b"") + joined(bands) + b"\xff\xd9"
+    )
+    for arrays in (True, False):
+        found = jpeg.Decoder(data, arrays=arrays).coefficients[0]
+        assert found[:, 0].tolist() == dc
+        assert found[:, 1].tolist() == [1, 0, 1, 0, 1] and not found[:, 2:].any()
+
+
 def test_inverse_transform_and_chroma():
     data = jpeg.encode_payload(os.urandom(64 * 6))
     image = jpeg.Decoder(data)
