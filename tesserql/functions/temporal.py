@@ -455,6 +455,48 @@ def time_text(t: Arg) -> Column:
     return F.concat(F.when(whole < 0, "-").otherwise(""), F.concat_ws(":", shown, _two(minutes), _two(seconds)))
 
 
+def duration(x: Arg) -> Column:
+    """A text ``[-][D ]HH:MM[:SS[.f]]``, or digits ``[-]HHMMSS[.f]``, as a
+    duration; NULL for any other."""
+    t = F.trim(text(x))
+    colons, digits = r"^-?(?:([0-9]+) )?([0-9]+):([0-5]?[0-9])(?::([0-5]?[0-9](?:\.[0-9]*)?))?$", r"^-?([0-9]*?)([0-5]?[0-9]?)([0-5]?[0-9](?:\.[0-9]*)?)$"
+
+    def seconds(pattern: str, *weights: int) -> Column:
+        parts = [F.regexp_extract(t, pattern, k + 1) for k in range(len(weights))]
+        return sum((F.when(v == "", 0).otherwise(v).cast("decimal(20,6)") * w for v, w in zip(parts[1:], weights[1:])), F.when(parts[0] == "", 0).otherwise(parts[0]).cast("decimal(20,6)") * weights[0])
+
+    total = F.when(t.rlike(colons), seconds(colons, 86400, 3600, 60, 1)).when(t.rlike(digits), seconds(digits, 3600, 60, 1))
+    return sec_to_time(F.when(t.startswith("-"), -total).otherwise(total))
+
+
+#: Divisor in microseconds, and modulus, of each part of a duration.
+DURATION_PARTS = {
+    "hour": (3_600_000_000, None),
+    "minute": (60_000_000, 60),
+    "second": (1_000_000, 60),
+    "microsecond": (1, 1_000_000),
+    "time_to_sec": (1_000_000, None),
+}
+
+
+def duration_part(part: str, t: Arg) -> Column:
+    """A part of a duration; of the parts, only the total of seconds has a sign."""
+    divisor, modulus = DURATION_PARTS[part]
+    micros = _micros(col(t))
+    n = F.floor(F.abs(micros) / divisor).cast("bigint")
+    n = n if modulus is None else n % modulus
+    return F.when(micros < 0, -n).otherwise(n) if part == "time_to_sec" else n
+
+
+def time_format(t: Arg, form: str) -> Column:
+    """TIME_FORMAT of a duration; hours may be more than a day's."""
+    day = F.timestamp_micros((F.abs(_micros(col(t))) % 86_400_000_000).cast("bigint"))
+    hours = duration_part("hour", t).cast("string")
+    padded = F.when(F.length(hours) < 2, F.lpad(hours, 2, "0")).otherwise(hours)
+    parts = [padded if x == "%H" else hours if x == "%k" else date_format(day, x) for x in re.split(r"(%[Hk])", form) if x]
+    return F.concat(*parts) if parts else F.when(col(t).isNotNull(), F.lit(""))
+
+
 def _months(p: Arg) -> Column:
     n = col(p).cast("bigint")
     return full_year(F.floor(n / 100)) * 12 + n % 100 - 1

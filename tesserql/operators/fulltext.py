@@ -13,11 +13,14 @@ words only for prefixes and phrases, and only where these can stand.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserql.plans.names import unused
+
 SHORTEST, LONGEST = 3, 84
 #: The words that are not indexed.
 STOP_WORDS = frozenset(
@@ -47,21 +50,22 @@ def occurrences(low: Column, word: str) -> Column:
     return F.when(low.contains(word), F.regexp_count(low, F.lit(pattern))).otherwise(0)
 
 
-def counted(df: DataFrame, text_col: str, terms: list[str]) -> DataFrame:
-    """The rows with ``_tf``: how often each different term stands in them."""
-    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    return df.withColumn("_low", low).withColumn("_tf", F.array(*[occurrences(F.col("_low"), t) for t in terms])).drop("_low")
+def counted(df: DataFrame, text_col: str, tf: str, count: Callable[[Column], list[Column]]) -> DataFrame:
+    """The rows with a column of that name: counts in their lower-cased text."""
+    low = unused("_low", df)
+    lowered = df.withColumn(low, F.lower(F.coalesce(F.col(text_col), F.lit(""))))
+    return lowered.withColumn(tf, F.array(*count(F.col(low)))).drop(low)
 
 
-def _weights(rows: DataFrame, terms: list[str]) -> DataFrame:
+def _weights(rows: DataFrame, tf: str, terms: int, name: str) -> DataFrame:
     """``idf ** 2`` of each term, in one row."""
     n = F.count("*").cast("double")
     out = []
-    for k in range(len(terms)):
-        having = F.sum((F.get("_tf", F.lit(k)) > 0).cast("int")).cast("double")
+    for k in range(terms):
+        having = F.sum((F.get(tf, F.lit(k)) > 0).cast("int")).cast("double")
         idf = F.when(having >= n, F.log10(F.lit(EVERYWHERE))).otherwise(F.log10(n / having))
         out.append(F.when(having > 0, idf * idf).otherwise(0.0))
-    return rows.agg(F.array(*out).alias("_idf2"))
+    return rows.agg(F.array(*out).alias(name))
 
 
 def natural(df: DataFrame, text_col: str, query: str, rank: str = "rank") -> DataFrame:
@@ -71,13 +75,12 @@ def natural(df: DataFrame, text_col: str, query: str, rank: str = "rank") -> Dat
     terms = list(dict.fromkeys(asked))
     if not terms:
         return df.withColumn(rank, F.lit(0.0)).where(F.lit(False))
-    rows = counted(df, text_col, terms)
+    tf, idf2 = unused("_tf", df), unused("_idf2", df)
+    rows = counted(df, text_col, tf, lambda low: [occurrences(low, t) for t in terms])
     # one row of as many numbers as the query has words
-    scored = rows.join(F.broadcast(_weights(rows, terms)))
-    parts = [F.get("_tf", F.lit(k)) * F.get("_idf2", F.lit(k)) * asked.count(t) for k, t in enumerate(terms)]
-    return scored.withColumn(rank, sum(parts[1:], parts[0]).cast("double")).where(
-        F.exists("_tf", lambda c: c > 0)
-    ).drop("_tf", "_idf2")
+    scored = rows.join(F.broadcast(_weights(rows, tf, len(terms), idf2)))
+    parts = [F.get(tf, F.lit(k)) * F.get(idf2, F.lit(k)) * asked.count(t) for k, t in enumerate(terms)]
+    return scored.withColumn(rank, sum(parts[1:], parts[0]).cast("double")).where(F.exists(tf, lambda c: c > 0)).drop(tf, idf2)
 
 
 @dataclass
@@ -200,13 +203,13 @@ def boolean(df: DataFrame, text_col: str, query: str, rank: str = "rank") -> Dat
     flat = leaves(parsed)
     if not flat:
         return df.withColumn(rank, F.lit(0.0)).where(F.lit(False))
-    lowered = df.withColumn("_low", F.lower(F.coalesce(F.col(text_col), F.lit(""))))
-    rows = lowered.withColumn("_tf", F.array(*[count_of(t, F.col("_low")) for t in flat])).drop("_low")
-    scored = rows.join(F.broadcast(_weights(rows, [""] * len(flat))))  # one row
+    tf, idf2 = unused("_tf", df), unused("_idf2", df)
+    rows = counted(df, text_col, tf, lambda low: [count_of(t, low) for t in flat])
+    scored = rows.join(F.broadcast(_weights(rows, tf, len(flat), idf2)))  # one row
     held, total = boolean_score(
-        parsed, [F.get("_tf", F.lit(k)) for k in range(len(flat))], [F.get("_idf2", F.lit(k)) for k in range(len(flat))]
+        parsed, [F.get(tf, F.lit(k)) for k in range(len(flat))], [F.get(idf2, F.lit(k)) for k in range(len(flat))]
     )
-    return scored.withColumn(rank, total.cast("double")).where(held).drop("_tf", "_idf2")
+    return scored.withColumn(rank, total.cast("double")).where(held).drop(tf, idf2)
 
 
 def top(df: DataFrame, rank: str, key: str, n: int) -> DataFrame:
@@ -217,4 +220,5 @@ def top(df: DataFrame, rank: str, key: str, n: int) -> DataFrame:
 def top_per(df: DataFrame, group: str, rank: str, key: str, n: int) -> DataFrame:
     """The n best rows of each group."""
     order = Window.partitionBy(group).orderBy(F.desc(rank), key)
-    return df.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= n).drop("_place")
+    place = unused("_place", df)
+    return df.withColumn(place, F.row_number().over(order)).where(F.col(place) <= n).drop(place)

@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserql.plans.names import unused
 from tesserql.sources.checkpoints import checkpointed
 
+#: Rounds of a recursion whose rows stay tables of their own.
+COMPACT = 8
+
 _COMPARE: dict[str, Callable[[Column, Column], Column]] = {
     "=": lambda a, b: a == b, "<>": lambda a, b: a != b, "<": lambda a, b: a < b,
     "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b,
@@ -32,24 +36,26 @@ def quantified(left: DataFrame, key: str, op: str, quantifier: str, sub: DataFra
     quantifier = {"SOME": "ANY"}.get(quantifier.upper(), quantifier.upper())
     x = F.col(key)
     if (op, quantifier) == ("=", "ANY"):
-        return left.join(sub.select(F.col(column).alias("_other")), x == F.col("_other"), "left_semi")
+        other = unused("_other", left)
+        return left.join(sub.select(F.col(column).alias(other)), x == F.col(other), "left_semi")
     if (op, quantifier) == ("<>", "ALL"):
         from tesserql.operators.joins import not_in
 
         return not_in(left, key, sub, column)
-    one = left.join(F.broadcast(facts(sub, column)))  # one row
+    of = {c: unused(c, left) for c in ("_min", "_max", "_n", "_known")}
+    one = left.join(F.broadcast(facts(sub, column).withColumnsRenamed(of)))  # one row
     compare = _COMPARE[op]
     if quantifier == "ANY":
         if op == "<>":  # some value differs
-            true = (x != F.col("_min")) | (x != F.col("_max"))
+            true = (x != F.col(of["_min"])) | (x != F.col(of["_max"]))
         else:
-            true = compare(x, F.col("_max" if op in ("<", "<=") else "_min"))
+            true = compare(x, F.col(of["_max" if op in ("<", "<=") else "_min"]))
     else:
         if op == "=":
-            every = (x == F.col("_min")) & (x == F.col("_max"))
+            every = (x == F.col(of["_min"])) & (x == F.col(of["_max"]))
         else:
-            every = compare(x, F.col("_min" if op in ("<", "<=") else "_max"))
-        true = (F.col("_n") == 0) | (every & (F.col("_known") == F.col("_n")))
+            every = compare(x, F.col(of["_min" if op in ("<", "<=") else "_max"]))
+        true = (F.col(of["_n"]) == 0) | (every & (F.col(of["_known"]) == F.col(of["_n"])))
     return one.where(true).select(*left.columns)
 
 
@@ -67,16 +73,19 @@ def recursive_distinct(
     """``WITH RECURSIVE … UNION DISTINCT``: rows of the seed and of all steps,
     each once, until a step gives nothing new.
 
-    A round's new rows and the rows so far are written to the shared folder, so
-    that neither the plan nor a lost executor's work grows with the depth.
+    A round's new rows are written to the shared folder, and after ``COMPACT``
+    rounds the rows so far as one table, so that the plan has no more than as
+    many scans and a lost executor's work does not grow with the depth.
     """
     new = checkpointed(seed.distinct())
     found = new
-    for _ in range(depth):
+    for k in range(depth):
         new = checkpointed(step(new).distinct().subtract(found))
         if new.isEmpty():
             return found
         found = found.union(new)
+        if k % COMPACT == COMPACT - 1:
+            found = checkpointed(found)
     raise RecursionError(f"Recursive query aborted after {depth} iterations")
 
 
@@ -85,9 +94,11 @@ def recursive_all(seed: DataFrame, step: Callable[[DataFrame], DataFrame], depth
     hold; see Spark's own ``WITH RECURSIVE`` for others."""
     new = checkpointed(seed)
     found = new
-    for _ in range(depth):
+    for k in range(depth):
         new = checkpointed(step(new))
         if new.isEmpty():
             return found
         found = found.union(new)
+        if k % COMPACT == COMPACT - 1:
+            found = checkpointed(found)
     raise RecursionError(f"Recursive query aborted after {depth} iterations")

@@ -201,3 +201,27 @@ def test_stream_of_events(spark, tmp_path):
     source = source.withColumn("ts", F.col("ts").cast("timestamp"))
     want = {(r.start, r.event_type): r.n for r in events.tumbling(source).collect()}
     assert got == want
+
+
+def test_inner_names_do_not_touch_the_users_columns(spark):
+    names = ["_n", "_null", "_other", "_bin", "_point_bin", "_rank", "_salt", "_min", "_max", "_known", "_tf", "_low", "_idf2", "_place"]
+    extra = ", ".join(f"{k} AS `{c}`" for k, c in enumerate(names))
+    rows = spark.sql(f"SELECT x, CONCAT('apple ', x) AS text, {extra} FROM VALUES (1), (2), (3) AS v(x)")
+    other = spark.sql("SELECT * FROM VALUES (2), (3) AS v(y)")
+    kept = [{c: k for k, c in enumerate(names)}] * 3
+
+    def users(df):
+        assert set(names) <= set(df.columns) and not [c for c in df.columns if c.startswith("_") and c not in names]
+        return [{c: r[c] for c in names} for r in df.collect()]
+
+    assert users(joins.not_in(rows, "x", other, "y")) == kept[:1]
+    ranges = spark.sql("SELECT 1.0 AS low, 2.0 AS high")
+    assert users(joins.range_join(rows, "x", ranges, "low", "high", 1.0)) == kept[:2]
+    assert users(joins.salted(rows, other.withColumnRenamed("y", "x"), "x", 2)) == kept[:2]
+    tops = joins.lateral_top(other.withColumnRenamed("y", "x"), rows, "x", [F.col("x")], 1)
+    assert users(tops) == kept[:2]
+    for op, which, n in ((">", "ANY", 1), (">=", "ALL", 1), ("=", "ANY", 2), ("<>", "ALL", 1)):
+        assert users(subqueries.quantified(rows, "x", op, which, other, "y")) == kept[:n]
+    assert users(fulltext.natural(rows, "text", "apple")) == kept
+    assert users(fulltext.boolean(rows, "text", "+apple")) == kept
+    assert users(fulltext.top_per(rows, "text", "x", "x", 1)) == kept
