@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -83,6 +86,31 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: What a Python worker keeps from task to task, by the module that keeps it.
+_KEPT: dict[str, list[Callable[[], None]]] = {}
+_LAST: list[str] = []
+
+
+def kept_by(owner: str, forget: Callable[[], None]) -> None:
+    """Have ``forget`` called when a worker turns to another module's tasks."""
+    _KEPT.setdefault(owner, []).append(forget)
+
+
+def turn_to(owner: str) -> None:
+    """Give back the memory of what a worker keeps for other modules."""
+    if _LAST == [owner]:
+        return
+    _LAST[:] = [owner]
+    for other, calls in _KEPT.items():
+        if other != owner:
+            for forget in calls:
+                forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only with that C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_arrow(
     df: DataFrame,
     fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
@@ -90,4 +118,10 @@ def map_arrow(
 ) -> DataFrame:
     """``mapInArrow`` with bounded batches."""
     small_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    owner = fn.__module__
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to(owner)
+        yield from fn(batches)
+
+    return df.mapInArrow(run, schema)

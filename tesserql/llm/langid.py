@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserql.llm.common import map_arrow
+from tesserql.llm.common import kept_by, map_arrow
 
 MARK = "▁"
 #: Widest word, with its mark, whose probability is not computed in logarithms.
@@ -271,6 +271,8 @@ class Scorer:
 
 #: The scorer of a worker, by its model's key.
 _SCORERS: dict[str, Scorer] = {}
+for _forget in (_SCORERS.clear, pieces.cache_clear, matcher.cache_clear):
+    kept_by(__name__, _forget)
 
 
 def scorer_of(key: str, path: str, model: np.ndarray) -> Scorer:

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserql.llm.common import map_arrow
+from tesserql.llm.common import kept_by, map_arrow
 
 #: Bound of the sample that the CRF is fitted on, in documents.
 TRAIN_DOCS = 3000
@@ -356,6 +356,7 @@ class Tagger:
 
 #: The tagger of a worker, by its model's key.
 _TAGGERS: dict[str, Tagger] = {}
+kept_by(__name__, _TAGGERS.clear)
 
 
 def tagger_of(key: str, crf: Crf) -> Tagger:
