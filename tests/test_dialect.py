@@ -30,7 +30,7 @@ VALUES = [
     ("COALESCE(NULL, 1, 2.5)", D("1.0")), ("CAST('12abc' AS SIGNED)", 12), ("CAST(2.5 AS SIGNED)", 3), ("CAST('3.456' AS DECIMAL(5,2))", D("3.46")), ("CAST(-1 AS UNSIGNED)", D("18446744073709551615")), ("CAST(5 AS CHAR)", "5"), ("CAST('2024-02-30' AS DATE)", None),
     ("CONCAT('a', 1, 'b')", "a1b"), ("CONCAT_WS('-', 'a', NULL, 'b')", "a-b"), ("SUBSTRING('abcdef' FROM 2 FOR 3)", "bcd"), ("SUBSTR('abc', 0)", ""), ("TRIM(LEADING 'x' FROM 'xxax')", "ax"), ("TRIM('  a ')", "a"), ("LENGTH('é')", 2), ("CHAR_LENGTH('é')", 1),
     ("POSITION('b' IN 'abc')", 2), ("LOCATE('c', 'abcabc', 4)", 6), ("REPLACE('aXb', 'X', '-')", "a-b"), ("FIELD('b', 'a', 'b')", 2), ("ELT(2, 'a', 'b')", "b"), ("MAKE_SET(5, 'a', 'b', 'c')", "a,c"), ("FORMAT(1234.567, 2)", "1,234.57"), ("HEX(255)", "FF"), ("HEX('a')", "61"),
-    ("LPAD('a', 3, '*')", "**a"), ("REPEAT('ab', 2)", "abab"), ("REVERSE('abc')", "cba"), ("SUBSTRING_INDEX('a.b.c', '.', 2)", "a.b"), ("SOUNDEX('Hello')", "H400"), ("INSERT('abcd', 2, 2, 'X')", "aXd"), ("STRCMP('a', 'b')", -1), ("CRC32('MySQL')", 3259397556),
+    ("LPAD('a', 3, '*')", "**a"), ("REPEAT('ab', 2)", "abab"), ("REVERSE('abc')", "cba"), ("SUBSTRING_INDEX('a.b.c', '.', 2)", "a.b"), ("SOUNDEX('Hello')", "H400"), ("INSERT('abcd', 2, 2, 'X')", "aXd"), ("STRCMP('a', 'b')", -1), ("CRC32('abc')", 891568578),
     ("ROUND(2.5)", D(3)), ("ROUND(2.5e0)", 2.0), ("ROUND(1.298, 1)", D("1.3")), ("TRUNCATE(1.999, 1)", D("1.9")), ("FLOOR(-1.5)", -2), ("CEIL(1.2)", 2), ("ABS(-3)", 3), ("SIGN(-2)", -1), ("GREATEST(1, 3, 2)", 3), ("LEAST(1, NULL)", None), ("MOD(7, 3)", 1), ("POW(2, 3)", 8.0),
     ("LOG(2, 8)", 3.0), ("SQRT(-1)", None), ("PI() > 3", 1), ("CONV('ff', 16, 10)", "255"), ("BIT_COUNT(7)", 3), ("INTERVAL(5, 1, 4, 9)", 2),
     ("DATE_ADD('2024-01-31', INTERVAL 1 MONTH)", date(2024, 2, 29)), ("DATE '2024-01-01' + INTERVAL 1 DAY", date(2024, 1, 2)), ("DATE_SUB('2024-01-01 00:00:00', INTERVAL 1 SECOND)", datetime(2023, 12, 31, 23, 59, 59)), ("INTERVAL 1 YEAR + DATE '2024-02-29'", date(2025, 2, 28)),
