@@ -25,14 +25,16 @@ from __future__ import annotations
 
 import functools
 import itertools
+import string
 import unicodedata
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,11 +81,23 @@ def matcher(path: str) -> ahocorasick.Automaton:
     return found
 
 
+def tokens_of(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Lower-cased texts split at white space: where each text begins among the
+    places, the token at each place, and the different tokens.  An empty token
+    may stand at a text's ends."""
+    lowered = pa.array([(t or "").lower() for t in texts], pa.large_string())
+    split = pc.utf8_split_whitespace(lowered)
+    found = pc.list_flatten(split).dictionary_encode()
+    starts = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])
+    return starts.astype(np.int64), found.indices.to_numpy(zero_copy_only=False), found.dictionary.to_pylist()
+
+
 def letter_runs(token: str) -> list[str]:
     """Runs of letters, with the marks that combine with them, in a lower-cased
     token."""
-    if token.isalpha():
-        return [token]
+    inner = token.strip(string.punctuation)
+    if inner.isalpha():
+        return [inner]
     if token.isascii():
         return "".join(c if c.isalpha() else " " for c in token).split()
     runs = "".join(c if c.isalpha() or unicodedata.category(c)[0] == "M" else " " for c in token).split()
@@ -110,12 +124,15 @@ def lattice(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray, np.nda
     return row, at - first[row], at - first[row] + length, number
 
 
-def batches(words: list[str]) -> Iterator[list[int]]:
-    """Places of words, by length, in batches of bounded size."""
+def batches(words: list[str], wide: int = WIDE) -> Iterator[list[int]]:
+    """Places of words, by length, in batches of bounded size; words up to
+    ``wide`` and beyond it do not share one, so that a word's result does not
+    depend on its neighbours."""
     order = sorted(range(len(words)), key=lambda k: len(words[k]))
+    narrow = sum(len(w) <= wide for w in words)
     at = 0
     while at < len(order):
-        end = min(len(order), at + BATCH)
+        end = min(narrow if at < narrow else len(order), at + BATCH)
         # the last word of a batch is its widest
         while end - at > 1 and (end - at) * len(words[order[end - 1]]) > BATCH * WIDE:
             end = (at + end) // 2
@@ -152,7 +169,7 @@ def expected_counts(words: list[str], times: np.ndarray, path: str, wide: int =
     size = len(pieces(path)) + 1
     total = np.zeros(size)
     equal = np.full((size, 1), 1.0 / size)
-    for places in batches(words):
+    for places in batches(words, wide):
         part = [words[k] for k in places]
         row, start, stop, number = lattice(part, path)
         n = np.array([len(w) for w in part])
@@ -220,7 +237,7 @@ def learn(
 def word_scores(words: list[str], path: str, model: np.ndarray, wide: int = WIDE) -> np.ndarray:
     """Log probability of each marked word, by language."""
     out = np.empty((len(words), model.shape[1]))
-    for places in batches(words):
+    for places in batches(words, wide):
         part = [words[k] for k in places]
         n = np.array([len(w) for w in part])
         logs = bool(n.max() > wide)
@@ -231,42 +248,61 @@ def word_scores(words: list[str], path: str, model: np.ndarray, wide: int = WIDE
 
 
 class Scorer:
-    """Log probabilities of texts, one distinct token at a time."""
+    """Log probabilities of texts, one distinct word at a time.
+
+    ``row`` gives each token's row of the table ``kept``: that of its word, if it
+    has one, with or without punctuation; row 0 is that of tokens without a
+    letter, and a token of several words has a row of its own.
+    """
 
     def __init__(self, path: str, model: np.ndarray) -> None:
         self.path, self.model = path, model
         self.row: dict[str, int] = {}
+        self.used = 1
         self.most = max(1, min(KEEP_WORDS, KEEP_BYTES // (8 * (model.shape[1] + 1))))
-        self.kept = np.zeros((self.most, model.shape[1] + 1), np.float64)
+        self.kept = np.zeros((1 + self.most, model.shape[1] + 1), np.float64)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         """``[text, language]`` log probabilities; the last column counts words."""
-        split = [(t or "").lower().split() for t in texts]
-        new = list(dict.fromkeys(w for words in split for w in words if w not in self.row))
-        if len(self.row) + len(new) > self.most:
-            self.row.clear()
-            new = list(dict.fromkeys(w for words in split for w in words))
-        table = self.kept
-        if len(new) > self.most:  # one batch with more words than the table holds
-            table = np.zeros((len(new), self.kept.shape[1]))
-        first = len(self.row)
-        row = self.row if table is self.kept else {}
-        row.update((w, first + k) for k, w in enumerate(new))
-        table[first : first + len(new)] = self.token_scores(new)
+        starts, token, different = tokens_of(texts)
+        row, table = self.rows_of(different)
+        scores = table[np.fromiter(map(row.__getitem__, different), np.int64, len(different))]
         out = np.zeros((len(texts), table.shape[1]))
-        for k, words in enumerate(split):
-            if words:
-                out[k] = table[[row[w] for w in words]].sum(axis=0)
+        for k, (a, b) in enumerate(itertools.pairwise(starts)):
+            out[k] = scores[token[a:b]].sum(axis=0)
         return out
 
-    def token_scores(self, tokens: list[str]) -> np.ndarray:
-        out = np.zeros((len(tokens), self.model.shape[1] + 1))
-        runs = [(k, MARK + w) for k, t in enumerate(tokens) for w in letter_runs(t)]
-        if runs:
-            places = [k for k, _ in runs]
-            np.add.at(out[:, :-1], places, word_scores([w for _, w in runs], self.path, self.model))
-            np.add.at(out[:, -1], places, 1)
-        return out
+    def rows_of(self, tokens: Iterable[str]) -> tuple[dict[str, int], np.ndarray]:
+        """Rows of tokens, and the table that they are rows of."""
+        runs = {t: letter_runs(t) for t in tokens if t not in self.row}
+        words, several = self.missing(runs)
+        if self.used + len(words) + len(several) > len(self.kept) or len(self.row) + len(runs) > 2 * self.most:
+            self.row, self.used = {}, 1
+            runs = {t: letter_runs(t) for t in tokens}
+            words, several = self.missing(runs)
+        row, table, first = self.row, self.kept, self.used
+        end = first + len(words) + len(several)
+        if end > len(table):  # one batch with more words than the table holds
+            row, table = {}, np.zeros((end, table.shape[1]))
+        else:
+            self.used = end
+        row.update(zip(words, itertools.count(first)))
+        cut = first + len(words)
+        if words:
+            table[first:cut, :-1] = word_scores([MARK + w for w in words], self.path, self.model)
+            table[first:cut, -1] = 1
+        for k, t in enumerate(several, cut):
+            table[k] = table[[row[w] for w in runs[t]]].sum(axis=0)
+            row[t] = k
+        for t, own in runs.items():
+            if len(own) < 2:
+                row[t] = row[own[0]] if own else 0
+        return row, table
+
+    def missing(self, runs: dict[str, list[str]]) -> tuple[list[str], list[str]]:
+        """Words that have no row yet, and tokens of several words."""
+        words = dict.fromkeys(w for own in runs.values() for w in own if w not in self.row)
+        return list(words), [t for t, own in runs.items() if len(own) > 1]
 
 
 #: The scorer of a worker, by its model's key.

@@ -103,3 +103,23 @@ def test_edge_cases(spark):
     assert langid.identify(empty_documents(spark), PATH).collect() == []
     untaught = edge_documents(spark).withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in langid.identify(untaught, PATH).collect()} == {"und"}
+
+
+def test_tokens_share_the_rows_of_their_words(monkeypatch):
+    """Whatever the table holds, a text's score is the sum over its words."""
+    size = len(langid.pieces(PATH)) + 1
+    model = np.random.default_rng(1).random((size, 3))
+    model /= model.sum(axis=0)
+    rng = random.Random(6)
+    parts = ["the", "The,", "(the)", "don't", "x1y2z", "12", "--", "été;", "नमस्ते,", "o" * 40, "thering", "a\u0085b", " re", " or", "é.é"]
+    texts = [None, "", "  ", *(" ".join(rng.choice(parts) for _ in range(rng.randrange(30))) + rng.choice(["", " ", "\n"]) for _ in range(60))]
+    plain = []
+    for t in texts:
+        words = [langid.MARK + w for token in (t or "").lower().split() for w in langid.letter_runs(token)]
+        scores = np.array([langid.word_scores([w], PATH, model)[0] for w in words]).reshape(-1, 3)
+        plain.append([*scores.sum(axis=0), len(words)])
+    for most in (1, 12, 600):
+        monkeypatch.setattr(langid, "KEEP_WORDS", most)
+        scorer = langid.Scorer(PATH, model)
+        found = np.vstack([scorer.score(texts[k : k + 7]) for k in range(0, len(texts), 7)])
+        assert np.allclose(found, plain)
