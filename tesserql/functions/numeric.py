@@ -215,11 +215,23 @@ def radians(x: Arg) -> Column:
     return F.radians(col(x).cast("double"))
 
 
+#: Modulus and seeding of the dialect's generator.
+RAND_MODULUS, RAND_SEEDS = 0x3FFFFFFF, ((0x10001, 55555555), (0x10000001, 0))
+
+
 def rand(seed: int | None = None) -> Column:
-    """A number from 0 up to 1; Spark's sequence, not the server's."""
+    """A number from 0 up to 1 for each row; Spark's sequence, as rows without an
+    order cannot share the server's.  :func:`rand_first` is the server's."""
     return F.rand() if seed is None else F.rand(seed)
 
 
+def rand_first(seed: Arg) -> Column:
+    """The first number that a seed gives, as where each row has its own."""
+    word = F.coalesce(F.rint(col(seed).cast("double")).cast("bigint"), F.lit(0)).bitwiseAND(F.lit(0xFFFFFFFF))
+    a, b = ((word * times + plus).bitwiseAND(F.lit(0xFFFFFFFF)) % RAND_MODULUS for times, plus in RAND_SEEDS)
+    return ((a * 3 + b) % RAND_MODULUS).cast("double") / RAND_MODULUS
+
+
 def random_bytes(n: int) -> Column:
     if not 1 <= n <= 1024:
         raise ValueError("1 to 1024 bytes")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserql.functions.core import Arg, col
@@ -79,7 +79,8 @@ def group_concat(
     x: Arg, order: Sequence[Arg] = (), separator: str = ",", distinct: bool = False, most: int | None = CONCAT_BYTES
 ) -> Column:
     """Texts in the order of ``order`` (ascending; by the text itself without
-    one), NULLs left out, cut after so many bytes; NULL of nothing."""
+    one), NULLs left out, cut after so many bytes; NULL of nothing.  Gathers a
+    whole group first; :func:`concat_groups` suits groups of any size."""
     t = col(x).cast("string")
     if distinct:
         listed = F.array_sort(F.collect_set(t))
@@ -89,15 +90,61 @@ def group_concat(
         listed = F.transform(sorted_, lambda s: s["t"])
     else:
         listed = F.sort_array(F.collect_list(t))
-    joined = F.when(F.size(listed) > 0, F.array_join(listed, separator))
     if most is None:
-        return joined
+        return F.when(F.size(listed) > 0, F.array_join(listed, separator))
+    return _cut(listed, separator, most)
+
+
+def concat_groups(
+    df: DataFrame, keys: Sequence[str], x: Arg, order: Sequence[Arg] = (), separator: str = ",", distinct: bool = False,
+    most: int = CONCAT_BYTES, name: str = "listed", salts: int = 1,
+) -> DataFrame:
+    """``(*keys, name)``: :func:`group_concat` of groups of any size.
+
+    Only texts that can reach the cut are gathered: equal ones are counted
+    first, with map-side combine, and of the ordered rest a running count keeps
+    as many as there are bytes before the cut.  ``salts`` cut a hot group into so
+    many parts that are limited by themselves before they meet.
+    """
+    each = max(1, len(separator.encode()))
+    limit = -(-most // each) + 1
+    sorts = [] if distinct else list(order)
+    k_names, t, n, upto, salt = [f"k{k}" for k in range(len(keys))], "t", "n", "upto", "salt"
+    o_names = [f"o{k}" for k in range(len(sorts))]
+    text = F.substring(col(x).cast("string"), 1, most)
+    # without a separator empty texts add nothing, but tell '' from NULL
+    place = F.when(text.isNull(), 2).when((text == "") & F.lit(not separator), 1).otherwise(0)
+    rows = df.select(
+        *[F.col(c).alias(k) for c, k in zip(keys, k_names)], place.alias("place"), *[col(o).alias(k) for o, k in zip(sorts, o_names)], text.alias(t)
+    )
+    whole = rows.groupBy(*rows.columns).agg((F.lit(1) if distinct else F.count("*")).cast("long").alias(n))
+    by = ["place", *o_names, t]
+
+    def limited(part: list[str], rows: DataFrame) -> DataFrame:
+        running = Window.partitionBy(*part).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.withColumn(upto, F.sum(n).over(running)).where(F.col(upto) - F.col(n) < limit)
+
+    if salts > 1:
+        salted = whole.withColumn(salt, F.pmod(F.xxhash64(*by), F.lit(salts)))
+        whole = limited([*k_names, salt], salted).drop(salt, upto)
+    kept = limited(k_names, whole)
+    copies = F.least(F.col(n), F.lit(limit) - F.col(upto) + F.col(n)).cast("int")
+    gathered = F.sort_array(F.collect_list(F.when(F.col(t).isNotNull(), F.struct(*by, copies.alias("copies")))))
+    listed = F.flatten(F.transform(gathered, lambda g: F.array_repeat(g[t], g["copies"])))
+    out = kept.groupBy(*k_names).agg(_cut(listed, separator, most).alias("listed"))
+    return out.select(*[F.col(k).alias(c) for c, k in zip(keys, k_names)], F.col("listed").alias(name))
+
+
+def _cut(listed: Column, separator: str, most: int) -> Column:
+    """Texts joined and cut after so many bytes, at a whole character."""
+    joined = F.when(F.size(listed) > 0, F.array_join(listed, separator))
     cut = F.make_valid_utf8(F.substring(joined.cast("binary"), F.lit(1), F.lit(most)).cast("string"))
-    return F.when(F.octet_length(joined) > most, F.regexp_replace(cut, "�+$", "")).otherwise(joined)
+    return F.when(F.octet_length(joined) > most, F.regexp_replace(cut, "\ufffd+$", "")).otherwise(joined)
 
 
 def json_arrayagg(x: Arg, order: Sequence[Arg] = ()) -> Column:
-    """JSON text of all values, NULLs included."""
+    """JSON text of all values, NULLs included; one value, so a group has to fit
+    in a task's memory."""
     keyed = F.struct(*[col(o).alias(f"k{k}") for k, o in enumerate(order)], col(x).alias("x"))
     listed = F.sort_array(F.collect_list(keyed)) if order else F.collect_list(keyed)
     return F.when(F.size(listed) > 0, F.to_json(F.transform(listed, lambda s: s["x"])))
@@ -122,10 +169,3 @@ def rollup(df: DataFrame, keys: Sequence[str], *aggregates: Column) -> DataFrame
 
 def having(df: DataFrame, keys: Sequence[str], condition: Column, *aggregates: Column) -> DataFrame:
     return df.groupBy(*keys).agg(*aggregates).where(condition)
-
-
-def salted_sum(df: DataFrame, keys: Sequence[str], value: str, salts: int) -> DataFrame:
-    """A sum in two steps, for aggregates that cannot be combined map-side (as
-    distinct ones) under hot keys: by key and salt, then by key."""
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(salts)).alias("_salt")
-    return df.groupBy(*keys, salt).agg(F.sum(value).alias(value)).groupBy(*keys).agg(F.sum(value).alias(value))

@@ -178,3 +178,14 @@ def text_session(spark: SparkSession, sf: str) -> DataFrame:
                CHARSET(r_name) AS charset, CAST(CONNECTION_ID() > 0 AS SIGNED) AS connected, CAST(LENGTH(RANDOM_BYTES(8)) AS SIGNED) AS bytes
         FROM region
     """)
+
+
+@query("""
+    SELECT c_custkey, round(((a * 3 + b) % 1073741823) / 1073741823.0::DOUBLE, 12) AS drawn, CAST(c_nationkey AS BIGINT) * 1000000000 AS wide,
+           c_custkey + 9007199254740993 AS far
+    FROM (SELECT *, ((c_custkey * 65537 + 55555555) & 4294967295) % 1073741823 AS a, ((c_custkey * 268435457) & 4294967295) % 1073741823 AS b FROM customer)
+""")
+def text_random(spark: SparkSession, sf: str) -> DataFrame:
+    return run(spark, sf, """
+        SELECT c_custkey, ROUND(RAND(c_custkey), 12) AS drawn, c_nationkey * 1000000000 AS wide, c_custkey + 9007199254740993 AS far FROM customer
+    """)

@@ -40,6 +40,7 @@ VALUES = [
     ("2 MEMBER OF ('[1, 2]')", 1), ("JSON_TYPE('[]')", "ARRAY"), ("JSON_KEYS('{\"bb\": 1, \"a\": 2}')", '["a", "bb"]'), ("JSON_UNQUOTE('\"a\"')", "a"), ("JSON_DEPTH('[[1]]')", 3), ("JSON_OVERLAPS('[1]', '[1,2]')", 1), ("JSON_CONTAINS_PATH('{\"a\":1}', 'one', '$.a', '$.b')", 1), ("CAST('{\"a\":1}' AS JSON)", '{"a": 1}'),
     ("INET_ATON('10.0.5.9')", 167773449), ("INET6_NTOA(INET6_ATON('::1'))", "::1"), ("IS_IPV4('1.2.3.4')", 1), ("IS_IPV6('::1')", 1), ("BIN_TO_UUID(UUID_TO_BIN('6ccd780c-baba-1026-9564-5b8c656024db'))", "6ccd780c-baba-1026-9564-5b8c656024db"), ("REGEXP_REPLACE('a b', 'b', 'X')", "a X"), ("REGEXP_SUBSTR('abc def', '[a-z]+', 1, 2)", "def"),
     ("REGEXP_INSTR('dog cat', 'cat')", 5), ("@@version", "8.4.11"), ("'it''s' ' on'", "it's on"), ("\"q\"", "q"), ("-(-3)", 3), ("_utf8mb4'x'", "x"), ("'a' COLLATE utf8mb4_0900_ai_ci = 'A'", 1), ("TIME_FORMAT('2024-01-01 10:11:12', '%H')", "10"), ("QUOTE(NULL)", "NULL"), ("(SELECT 5)", 5), ("EXISTS (SELECT 1)", 1), ("3 > ANY (SELECT 2)", 1), ("3 > ALL (SELECT 5)", 0),
+    ("2147483647 + 1", 2147483648), ("-2147483647 - 2", -2147483649), ("65536 * 65536", 4294967296), ("RAND(1)", 0.40540353712197724), ("RAND(NULL)", 0.15522042769493574),
 ]
 
 

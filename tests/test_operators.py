@@ -109,6 +109,16 @@ def test_joins(spark):
     p, q = spark.createDataFrame(points, "i int, x double"), spark.createDataFrame(ranges, "k int, low double, high double")
     got = sorted((r.i, r.k) for r in joins.range_join(p, "x", q, "low", "high", 5.0).collect())
     assert got == sorted((i, k) for i, x in points for k, a, b in ranges if a <= x <= b)
+    wide = [(i, x, x + rng.choice([0, 0.1, 3, 40, 5000, 1e12, math.inf])) for i in range(40) for x in [rng.uniform(-50, 50)]]
+    wide += [(40, -math.inf, 3.0), (41, -math.inf, math.inf), (42, 5.0, -math.inf)]
+    points += [(200, None), (201, points[0][1]), (201, points[0][1])]
+    p, q = spark.createDataFrame(points, "i int, x double"), spark.createDataFrame(wide, "k int, low double, high double")
+    pairs = [(i, k) for i, x in points for k, a, b in wide if x is not None and a <= x <= b]
+    for how in ("inner", "left"):
+        got = [(r.i, r.k) for r in joins.range_join(p, "x", q, "low", "high", 0.5, how).collect()]
+        met = {i for i, _ in pairs}
+        assert sorted(map(repr, got)) == sorted(map(repr, pairs + [(i, None) for i, _ in points if how == "left" and i not in met]))
+    assert sorted(r.i for r in joins.range_join(p, "x", q, "low", "high", 0.5, "left_semi").collect()) == sorted(i for i, _ in points if i in met)
     a = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "k int, v string")
     b = spark.createDataFrame([(1, "x"), (3, "y")], "k int, w string")
     for how in ("inner", "left", "left_semi", "left_anti"):
@@ -138,6 +148,21 @@ def test_aggregates_of_nothing_and_cut(spark):
         spark.createDataFrame([(None, 1)], "k string, v int").agg(aggregates.json_objectagg("k", "v")).collect()
 
 
+def test_concatenation_of_large_groups(spark):
+    rng = random.Random(4)
+    texts = ["", "a", "bb", "é" * 5, "x" * 2000, None, "same"]
+    rows = [(rng.choice([1, 1, 1, 2, None]), rng.choice(texts[:4] if i % 50 else texts), rng.choice([None, 1, 2, 3])) for i in range(900)]
+    rows += [(1, "same", 0)] * 3000 + [(3, None, 1)] * 3 + [(4, "", 1)] * 2 + [(5, "y" * 1024, 1)]
+    df = spark.createDataFrame(rows, "k int, t string, o int")
+    for separator in (",", "", ", "):
+        for order, distinct in ((["o"], False), ([], False), ([], True)):
+            for most in (1024, 7):
+                want = df.groupBy("k").agg(aggregates.group_concat("t", [*order, "t"] if order else [], separator, distinct, most).alias("g"))
+                for salts in (1, 3):
+                    got = aggregates.concat_groups(df, ["k"], "t", order, separator, distinct, most, "g", salts)
+                    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())), (separator, order, distinct, most, salts)
+
+
 def test_writes(spark):
     t = spark.createDataFrame([(1, 10), (2, 20)], "k int, v int")
     rows = spark.createDataFrame([(2, 5), (2, 7), (3, 1)], "k int, v int")
