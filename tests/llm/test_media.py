@@ -199,6 +199,17 @@ def test_frames(spark):
     assert sorted(got) == sorted(want)
     same = [r for r in rows if r.doc_id in (1, 5)]
     assert len(same) == 3 and len({(r.media_sha256, r.feature, r.media_bytes) for r in same}) == 1
+    stored = {}
+    for r in media.store_texts(docs).collect():
+        image = jpeg.Decoder(bytes(r.media), arrays=False)  # bit by bit
+        pixels = image.rgb().reshape(-1, 3).astype(float)
+        stats = " ".join(f"{m:.1f}/{s:.1f}" for m, s in zip(pixels.mean(axis=0), pixels.std(axis=0)))
+        shape = image.rgb().shape
+        stored.setdefault(r.doc_id, []).append((len(r.media), hashlib.sha256(r.media).hexdigest(), f"{shape[1]}x{shape[0]} {stats}"))
+    found = {}
+    for r in rows:
+        found.setdefault(r.doc_id, []).append((r.media_bytes, r.media_sha256, r.feature))
+    assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in stored.items()}
     tensors = media.decode_column(media.store_texts(docs)).collect()
     assert all(len(t.rgb) == t.height * t.width * 3 for t in tensors) and len(tensors) == 11
     assert media.read_payloads(media.store_texts(empty_documents(spark))).collect() == []

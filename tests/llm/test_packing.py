@@ -71,6 +71,37 @@ def test_many_shards_hold_together(spark, monkeypatch):
     assert max(sum(r.length for r in found if r.bin_id == b) for b in {r.bin_id for r in found}) <= 1000
 
 
+def test_whole_result_matches_brute_force(spark, monkeypatch):
+    """Shards, cuts and bins of a whole table, item by item."""
+    monkeypatch.setattr(packing, "SHARD", 40)
+    rng = random.Random(3)
+    texts = ["x" * rng.choice([0, 3, 300, 999, 1000, 1001, 3500]) + rng.choice("abcdefgh") for _ in range(60)]
+    rows = [(i, rng.choice([*texts, None]), "en", rng.choice(["hot", "hot", "a", "b", None]), 1, *[None] * 7) for i in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    items = []
+    for i, text, _, source, *_ in rows:
+        size = len(text or "")
+        for piece in range(max(1, -(-size // 1000))):
+            items.append((i, piece, piece * 1000, min(1000, size - piece * 1000), source, text))
+    total = sum(max(1, -(-len(r[1] or "") // 1000)) for r in rows)
+    hashed = (
+        spark.createDataFrame(items, "doc_id long, piece int, start long, length long, source string, text string")
+        .select("*", F.when(F.col("text").isNotNull(), F.xxhash64(F.md5("text"))).alias("cluster"))
+        .select("*", F.xxhash64("doc_id", "piece", "cluster").alias("h")).collect()
+    )
+    shards = {}
+    for r in hashed:
+        shards.setdefault(r.h % -(-total // 40), []).append(r)
+    want = []
+    for shard, held in shards.items():
+        held.sort(key=lambda r: (r.h, r.doc_id, r.piece))
+        for cut in range(0, len(held), 80):
+            part = sorted(held[cut : cut + 80], key=lambda r: -r.length)
+            bins = slow([r.length for r in part], [r.source for r in part], [r.text for r in part], 1000)
+            want += [(r.doc_id, r.piece, r.start, r.length, f"{shard}-{cut // 80}-{b}") for r, b in zip(part, bins)]
+    assert sorted(map(tuple, packed(df))) == sorted(want) and len(shards) > 3
+
+
 def test_edge_cases(spark):
     df = edge_documents(spark)
     rows = packed(df)
