@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from tesserql.llm.common import checkpointed, map_arrow, remove, written
+from tesserql.llm.common import checkpointed, map_arrow, remove, shuffled, sized, written
 from tesserql.llm.components import components
 from tesserql.llm.simhash import fingerprint_links, majority
 
@@ -191,7 +191,7 @@ def rare_prefixes(sets: DataFrame, least: float) -> DataFrame:
     back = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("df"), F.desc("h")))
     own = 1 - F.count("*").over(Window.partitionBy("key")) / F.col("n")
     longer, shorter = (F.col("n") - F.ceil(F.col("n") * part - HAIR) for part in (least, 2 * least / (1 + least)))
-    placed = rows.join(counts, "h").withColumn("at", F.col("n") - back).withColumn("own", own)
+    placed = shuffled(rows).join(counts, "h").withColumn("at", F.col("n") - back).withColumn("own", own)
     return placed.where(F.col("at") <= longer).select("key", "n", "own", "h", "at", (F.col("at") <= shorter).alias("short"))
 
 
@@ -263,8 +263,8 @@ def grouped(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
     near = checkpointed(fingerprint_pairs(nodes.select("node", "fp")))
     left = checkpointed(partnered(nodes, least))
     remove(spark, nodes_at)
-    wanted = named.join(left, "node", "left_semi").select(*by, "node")
-    sets = checkpointed(hash_sets(wanted.join(rows, by).select("node", rows.columns[-1])))
+    wanted = checkpointed(named.join(sized(left), "node", "left_semi").select(*by, "node"))
+    sets = checkpointed(hash_sets(sized(wanted).join(rows, by).select("node", rows.columns[-1])))
     prefixes = checkpointed(rare_prefixes(sets, least))
     links = checkpointed(similar(star_pairs(prefixes, least).union(near).distinct(), sets, least))
     links = checkpointed(links.union(similar(cross_pairs(prefixes, components(links), least), sets, least)))
@@ -273,7 +273,7 @@ def grouped(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
     of_copy = copies.join(classes, F.col("first") == F.col("node"), "left").select(
         "copy", F.coalesce("component", "first").alias("group")
     )
-    return named.join(of_copy, "copy").select(*by, "node", "group")
+    return shuffled(named).join(of_copy, "copy").select(*by, "node", "group")
 
 
 def near_duplicates(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -313,5 +313,5 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = checkpointed(grouped(rows, least).join(ids, ["file", "at"]))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("f")
     stay = named.groupBy("group").agg(first).select(F.col("f.node").alias("node"))
-    gone = named.join(stay, "node", "left_anti").select(*[F.col(n).alias(c) for c, n in zip(place, ("file", "at"))])
-    return placed.join(checkpointed(gone), place, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = named.join(shuffled(stay), "node", "left_anti").select(*[F.col(n).alias(c) for c, n in zip(place, ("file", "at"))])
+    return placed.join(sized(checkpointed(gone)), place, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

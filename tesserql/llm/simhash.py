@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserql.llm.common import checkpointed, map_arrow
+from tesserql.llm.common import checkpointed, map_arrow, shuffled
 from tesserql.llm.components import components
 
 SEED = 42
@@ -140,7 +140,7 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     # stands; at distance 2 halfway, a having moved along the lower axis
     halfway = (ka != 0) & ((F.abs(ka) < F.abs(kb)) | (ka == -kb))
     pairs = (
-        left.join(right, "cell")
+        shuffled(left).join(shuffled(right), "cell")
         .where((F.col("a") < F.col("b")) & ((kb == 0) | halfway))
         .where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)
         .select("a", "b")

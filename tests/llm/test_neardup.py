@@ -157,3 +157,35 @@ def test_columns_of_any_name_return_unchanged(spark, tmp_path):
     # rows of one file read twice are rows of their own
     twice = spark.read.parquet(f"file://{tmp_path}/docs").withColumn("doc_id", neardup.F.explode(neardup.F.array("doc_id", neardup.F.lit(9))))
     assert sorted(r.doc_id for r in neardup.keep_first(twice).collect()) == [0, 2, 4]
+
+
+def test_tables_are_broadcast_by_their_rows(spark, monkeypatch):
+    """Rows with one long path take next to nothing in a file, and shingles of
+    sets more than their sets are taken for."""
+    from tesserql.llm import common
+
+    table = common.checkpointed(spark.range(4000).selectExpr("repeat('x', 400) AS file", "id AS at"))
+    other = spark.range(5000).selectExpr("repeat('x', 400) AS file", "id AS at")
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 1 << 20)
+    plan = other.join(common.sized(table), ["file", "at"], "left_anti")
+    assert "BroadcastHashJoin" not in plan._jdf.queryExecution().executedPlan().toString() and plan.count() == 1000
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 4 << 20)
+    plan = other.join(common.sized(table), ["file", "at"], "left_anti")
+    assert "BroadcastHashJoin" in plan._jdf.queryExecution().executedPlan().toString() and plan.count() == 1000
+    sets = common.checkpointed(neardup.hash_sets(spark.createDataFrame([(i, f"a b c d e f g {i % 9} {i}") for i in range(90)], "key long, text string")))
+    assert "BroadcastHashJoin" not in neardup.rare_prefixes(sets, 0.8)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_copies_leave_without_any_broadcast(spark, tmp_path, monkeypatch):
+    from tesserql.llm import common
+
+    rng = random.Random(11)
+    words = [[f"w{rng.randrange(500)}" for _ in range(40)] for _ in range(20)]
+    rows = [(i, " ".join(words[i % 20] if i < 40 else edited(rng, words[i % 20], 1))) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    with_broadcast = sorted(r.doc_id for r in neardup.keep_first(docs).collect())
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0, raising=False)
+    kept = neardup.keep_first(docs)
+    assert "BroadcastHashJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.doc_id for r in kept.collect()) == with_broadcast and with_broadcast[:20] == list(range(20))
