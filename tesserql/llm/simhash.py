@@ -149,7 +149,7 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
         return pairs
     near_cells = cells.where("dense").select("cell").distinct()
     fine = (
-        cells.where("not dense").join(near_cells, "cell", "left_semi").select("fp")
+        cells.where("not dense").join(shuffled(near_cells), "cell", "left_semi").select("fp")
         .union(points.where("dense").select("fp"))
         .distinct()
     )
