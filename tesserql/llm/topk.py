@@ -13,9 +13,11 @@ of a score it ends early; of many components alike, as in random vectors of 64
 dimensions, nearly all rows are met before the bound falls below the k-th score.
 
 Query blocks are sent to every candidate block (a stated set of queries against
-all rows); a pair of blocks gives k rows for each query, which are reduced by
-partial aggregation, so what is shuffled after scoring is bounded by queries
-times blocks times k.
+all rows), as broadcasts of at most ``SENT_BYTES`` (or one block) at a time;
+what a broadcast finds is written to the shared folder before the next.  A pair
+of blocks gives k rows for each query, which are reduced by partial aggregation,
+so what is shuffled after scoring is bounded by a broadcast's queries times
+blocks times k.
 
 Vectors that are null, or hold a null or a component that is not finite, take
 no part; so do rows with a null id.  Only vectors of the same length meet.
@@ -33,12 +35,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserql.llm.common import checkpointed, map_arrow
+from tesserql.llm.common import checkpointed, map_arrow, written
 
 #: Most rows of a candidate block, fewest of one, and most of a query block.
 CANDIDATES = 32768
 LEAST = 1024
 QUERIES = 1024
+#: Most bytes of query blocks that are broadcast at once.
+SENT_BYTES = 16 << 20
 #: First depth of the walk, in rows of each list, and the factor of the next.
 DEPTH = 16
 STEP = 4
@@ -173,6 +177,19 @@ def unpacked(block: dict, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return ids, values.reshape(block["n"], dim)
 
 
+def spans(asked: DataFrame) -> list[tuple[int, int]]:
+    """First and last key of each run of query blocks that is broadcast at once."""
+    out, held = [], 0
+    for block, dim, n in sorted(map(tuple, asked.select("block", "dim", "n").collect())):
+        size = 8 * n * (dim + 1)
+        if not out or held + size > SENT_BYTES:
+            out.append((block, block))
+            held = 0
+        out[-1] = (out[-1][0], block)
+        held += size
+    return out
+
+
 def top_k(
     candidates: DataFrame,
     queries: DataFrame,
@@ -200,13 +217,8 @@ def top_k(
     size = min(CANDIDATES, max(LEAST, -(-n // parts)))
     lists = checkpointed(blocks(every, size))
     asked = checkpointed(blocks(prepared(queries), QUERIES))
-    # every query block goes to each group of candidate blocks: an equi-join
-    groups = max(1, -(-n // size))
-    kept = lists.select("dim", F.pmod(F.hash("block"), F.lit(groups)).alias("g"), F.struct("n", "ids", "values", "block").alias("c"))
-    sent = asked.select(
-        "dim", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.struct("n", "ids", "values", "block").alias("q")
-    )
-    pairs = kept.join(sent, ["dim", "g"]).select("dim", "c", "q")
+    kept = lists.select("dim", F.struct("n", "ids", "values", "block").alias("c"))
+    sent = asked.select("dim", "block", F.struct("n", "ids", "values", "block").alias("q"))
     names = ["query_block", "query_row", "query_id", "vec_id", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +239,15 @@ def top_k(
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names)
 
-    best = map_arrow(pairs, run, ", ".join(f"{x} long" for x in names))
-    order = Window.partitionBy("query_block", "query_row").orderBy(F.desc("score"), "vec_id")
-    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    def best(some: DataFrame) -> DataFrame:
+        pairs = kept.join(F.broadcast(some.select("dim", "q")), "dim").select("dim", "c", "q")
+        found = map_arrow(pairs, run, ", ".join(f"{x} long" for x in names))
+        order = Window.partitionBy("query_block", "query_row").orderBy(F.desc("score"), "vec_id")
+        ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        return ranked.select("query_id", "rank", "vec_id", "score")
+
+    turns = spans(asked)
+    if len(turns) < 2:
+        return best(sent)
+    each = [written(best(sent.where(F.col("block").between(*turn)))) for turn in turns]
+    return spark.read.schema(each[0][0].schema).parquet(*[path for _, path in each])

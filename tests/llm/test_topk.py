@@ -84,3 +84,15 @@ def test_large_components_are_exact():
     lists = topk.Lists(np.array([1, 2]), np.array([[2.0**40, 1.0], [2.0**40, 2.0]]))
     assert lists.products(np.array([[2.0**30, 1.0]]), lists.rows).tolist() == [[2**70 + 1, 2**70 + 2]]
     assert lists.products(np.array([[2.0**15, 1.0]]), lists.rows).tolist() == [[2**55 + 1, 2**55 + 2]]
+
+
+def test_queries_are_broadcast_in_bounded_turns(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=4 + i % 2).tolist()) for i in range(600)]
+    monkeypatch.setattr(topk, "SENT_BYTES", 100)
+    monkeypatch.setattr(topk, "QUERIES", 2)
+    broadcast = []
+    plain = F.broadcast
+    monkeypatch.setattr(topk.F, "broadcast", lambda df: broadcast.append(df.count()) or plain(df))
+    assert run(spark, rows) == slow(rows)
+    assert len(broadcast) > 1 and max(broadcast) == 1  # no query block is repeated for groups of candidates
