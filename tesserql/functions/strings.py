@@ -6,6 +6,8 @@ says otherwise.
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -287,11 +289,23 @@ def char_using_utf8(*codes: Arg) -> Column:
 
 
 def format_(x: Arg, digits: int) -> Column:
-    """Grouped by thousands, rounded half away from zero."""
+    """Exact numbers: grouped by thousands, rounded half away from zero."""
     d = max(0, digits)
     return F.format_number(F.round(col(x).cast("decimal(38,10)"), d), d)
 
 
+def format_double(x: Arg, digits: int) -> Column:
+    """Doubles: the scaled value is rounded half away from zero; a negative
+    zero keeps its sign."""
+    d = min(max(0, digits), 30)
+    v = col(x).cast("double")
+    scaled = v * float(10**d)
+    # rounding itself drops the sign of zero
+    rounded = F.round(F.abs(scaled)) * F.signum(scaled) / float(10**d)
+    largest = sys.float_info.max
+    return F.format_number(F.when(F.abs(scaled) <= largest, rounded).when(F.abs(v) <= largest, v), d)
+
+
 def conv(n: Arg, from_base: int, to_base: int) -> Column:
     return F.conv(text(n), from_base, to_base)
 
